@@ -105,3 +105,34 @@ def sliced(batches, rows: int = 2000, size: int = 16 << 20, text: str = "text"):
             to = min(max(to, at + 1), at + rows, n)
             yield batch.slice(at, to - at)
             at = to
+
+
+def whole_groups(batches, keys: list[str]):
+    """Record batches of sorted input, cut so that no group of equal keys is in two.
+
+    Yields (batch, bounds): row numbers where groups begin, and the end.
+    """
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        bounds = _bounds(batch, keys)
+        last = int(bounds[-2])
+        rest = batch.slice(last)
+        if last:
+            yield batch.slice(0, last), bounds[:-1]
+    if rest is not None:
+        yield rest, _bounds(rest, keys)
+
+
+def _bounds(batch, keys: list[str]) -> np.ndarray:
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        x = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pactum.llm.decontamination import OP5_SQL, op5_decontamination
+from pactum.llm.minhash_forest import OP3_SQL, op3_minhash_join
 from pactum.llm.packing import op8_packing
 from pactum.llm.token_files import op6_token_files
 
-QUERIES = {"op6_token_files": op6_token_files, "op8_packing": op8_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_minhash_join": op3_minhash_join, "op5_decontamination": op5_decontamination, "op6_token_files": op6_token_files, "op8_packing": op8_packing}
+ORACLE_SQL = {"op3_minhash_join": OP3_SQL, "op5_decontamination": OP5_SQL}
