@@ -5,7 +5,16 @@ from __future__ import annotations
 from pactum.llm.decontamination import OP5_SQL, op5_decontamination
 from pactum.llm.minhash_forest import OP3_SQL, op3_minhash_join
 from pactum.llm.packing import op8_packing
+from pactum.llm.quality import op9_quality
 from pactum.llm.token_files import op6_token_files
+from pactum.llm.toxicity import op4_toxicity
 
-QUERIES = {"op3_minhash_join": op3_minhash_join, "op5_decontamination": op5_decontamination, "op6_token_files": op6_token_files, "op8_packing": op8_packing}
+QUERIES = {
+    "op3_minhash_join": op3_minhash_join,
+    "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_token_files": op6_token_files,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+}
 ORACLE_SQL = {"op3_minhash_join": OP3_SQL, "op5_decontamination": OP5_SQL}
