@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pactum.llm.chat_tree import OP10_SQL, op10_chat_tree
 from pactum.llm.decontamination import OP5_SQL, op5_decontamination
 from pactum.llm.minhash_forest import OP3_SQL, op3_minhash_join
 from pactum.llm.packing import op8_packing
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
+    "op10_chat_tree": op10_chat_tree,
 }
-ORACLE_SQL = {"op3_minhash_join": OP3_SQL, "op5_decontamination": OP5_SQL}
+ORACLE_SQL = {"op3_minhash_join": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_chat_tree": OP10_SQL}
