@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pactum.llm.chat_tree import OP10_SQL, op10_chat_tree
 from pactum.llm.decontamination import OP5_SQL, op5_decontamination
+from pactum.llm.media import op1_media
 from pactum.llm.minhash_forest import OP3_SQL, op3_minhash_join
 from pactum.llm.packing import op8_packing
 from pactum.llm.quality import op9_quality
@@ -11,6 +12,7 @@ from pactum.llm.token_files import op6_token_files
 from pactum.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_media": op1_media,
     "op3_minhash_join": op3_minhash_join,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
