@@ -34,7 +34,7 @@ WINDOW, STEP = 64, 32
 CUT = 0.5
 GRAM = 5
 _BITS = 24
-_OWN, _BASE = 1024, 8192
+_OWN, _BASE = 1536, 16384
 
 
 def _grams(text: bytes) -> np.ndarray:
