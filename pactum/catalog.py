@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from pactum.plans import diffs, texts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (texts, diffs):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.SQL
