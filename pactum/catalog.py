@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pactum.plans import diffs, texts
+from pactum.plans import diffs, searches, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (texts, diffs):
+for _module in (texts, diffs, searches):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.SQL
