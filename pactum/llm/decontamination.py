@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.common import filesystem, materialize, ranges, shared_dir, sliced, table, utf8
-from pactum.llm.words import grams, hash_words
+from pactum.llm.words import grams, hash_words, member
 
 SPAN = 10
 GRAM = 5
@@ -131,19 +131,6 @@ def _load(name: str, kept_blocks: dict = {}) -> dict:  # noqa: B006  the last bl
     return kept_blocks[name]
 
 
-def _member(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which hashes are in the sorted array ``of``."""
-    if not len(of) or not len(hashes):
-        return np.zeros(len(hashes), bool)
-    bits = np.zeros(1 << 16, bool)
-    bits[(of >> np.uint64(48)).astype(np.int64)] = True
-    out = bits[(hashes >> np.uint64(48)).astype(np.int64)]
-    some = np.flatnonzero(out)
-    slot = np.minimum(np.searchsorted(of, hashes[some]), len(of) - 1)
-    out[some] = of[slot] == hashes[some]
-    return out
-
-
 def scan(raw, offsets, blocks: list[str], span: int = SPAN, gram: int = GRAM):
     """(words, hit words, item names) of each text, and the words' hit flags with their bounds."""
     words, bounds = hash_words(raw, offsets)
@@ -155,7 +142,7 @@ def scan(raw, offsets, blocks: list[str], span: int = SPAN, gram: int = GRAM):
     prints = kept(every, window)  # windows over text ends only add grams, which are then looked up in vain
     for name in blocks:
         part = _load(name)
-        at = prints[_member(every[prints], part["prints"])]
+        at = prints[member(every[prints], part["prints"])]
         starts = np.unique((at[:, None] - np.arange(window)[None, :]).ravel())
         looked = [(span, _inside(starts[(starts >= 0) & (starts < len(full))], span, bounds), full)]
         for size in part["shorts"].tolist():
@@ -163,7 +150,7 @@ def scan(raw, offsets, blocks: list[str], span: int = SPAN, gram: int = GRAM):
             looked.append((size, _inside(np.arange(len(short)), size, bounds), short))
         for size, starts, hashes in looked:
             windows = part[f"windows{size}"]
-            starts = starts[_member(hashes[starts], windows)] if len(starts) else starts
+            starts = starts[member(hashes[starts], windows)] if len(starts) else starts
             if not len(starts):
                 continue
             np.add.at(hit, starts, 1)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from pactum.llm.common import random64, table
-from pactum.llm.labelled import chance, logistic, sample, scored, verdicts
+from pactum.llm.labelled import chance, every_fourth, logistic, sample, scored, verdicts
 
 ONES, ZEROS = 3000, 3000
 CUT = 0.3
@@ -129,7 +129,7 @@ def descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float,
 
 def fit(texts: list[bytes], y: np.ndarray, c: float = 0.01) -> dict:
     """Model from three quarters of the texts, calibration from the others."""
-    later = np.arange(len(y)) % 4 == 3
+    later = every_fourth(y)
     if min(int(y.sum()), int((1 - y).sum()), int(y[later].sum()), int((1 - y[later]).sum())) < 5:
         return {"share": float(y.mean()) if len(y) else 1.0}
     rows = [indicators(t) for t in texts]

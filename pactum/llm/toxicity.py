@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from pactum.llm.common import table
-from pactum.llm.labelled import chance, logistic, sample, scored, verdicts
+from pactum.llm.labelled import chance, every_fourth, logistic, sample, scored, verdicts
 
 ONES, ZEROS = 2500, 7500
 WINDOW, STEP = 64, 32
@@ -110,7 +110,7 @@ def features(d: np.ndarray) -> list[float]:
 def fit(texts: list[bytes], y: np.ndarray) -> dict:
     """Dictionaries from three quarters of the texts, calibration from the others."""
     share = float(y.mean()) if len(y) else 0.0
-    later = np.arange(len(y)) % 4 == 3
+    later = every_fourth(y)
     toxic, ordinary = ([t for t, v, c in zip(texts, y, later, strict=True) if v == k and not c] for k in (1, 0))
     if min(len(toxic), len(ordinary), int(y[later].sum()), int((1 - y[later]).sum())) < 5:
         return {"share": share}

@@ -86,3 +86,16 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int = 5):
             yield grams(words[a:b], int(b - a))
         else:
             yield words[:0]
+
+
+def member(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array ``of``."""
+    if not len(of) or not len(hashes):
+        return np.zeros(len(hashes), bool)
+    bits = np.zeros(1 << 16, bool)
+    bits[(of >> np.uint64(48)).astype(np.int64)] = True
+    out = bits[(hashes >> np.uint64(48)).astype(np.int64)]
+    some = np.flatnonzero(out)
+    slot = np.minimum(np.searchsorted(of, hashes[some]), len(of) - 1)
+    out[some] = of[slot] == hashes[some]
+    return out
