@@ -33,8 +33,8 @@ ONES, ZEROS = 2500, 7500
 WINDOW, STEP = 64, 32
 CUT = 0.5
 GRAM = 5
-_BITS = 24
-_OWN, _BASE = 1536, 16384
+_BITS = 22
+_OWN, _BASE = 1024, 16384
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -47,7 +47,7 @@ def _grams(text: bytes) -> np.ndarray:
     return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _vocabulary(texts: list[bytes], others: list[bytes], least: int = 5) -> list[bytes]:
+def _vocabulary(texts: list[bytes], others: list[bytes], least: int = 3) -> list[bytes]:
     """For each text its words that recur in ``texts`` and hold a run of bytes that ``others`` lack."""
     seen, spread = np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, np.int32)
     for t in others:
@@ -69,7 +69,7 @@ def _vocabulary(texts: list[bytes], others: list[bytes], least: int = 5) -> list
         count.update(set(own))
     for t in others:
         elsewhere.update({w.strip(b".,") for w in t.split()} & count.keys())
-    kept = {w for w, n in count.items() if n >= least and n * len(others) > 10 * elsewhere[w] * len(texts)}
+    kept = {w for w, n in count.items() if n >= 2 and n * len(others) > 10 * elsewhere[w] * len(texts)}
     joined = (b" ".join([b"", *(w for w in own if w in kept)]) for own in found)
     return [x for x in joined if len(x) >= 8]
 
