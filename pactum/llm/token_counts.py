@@ -91,7 +91,8 @@ def counts(docs: DataFrame, sections: DataFrame | None = None, rule: str = "firs
         raise ValueError(f"rule must be one of {RULES}")
     path = vocabulary or bpe.vocabulary_path()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if sections is not None:
+    with_spans = sections is not None
+    if with_spans:
         spans = sections.groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
         texts = texts.join(spans, texts["doc_id"].eqNullSafe(spans["_d"]), "left").select("doc_id", "text", "spans")
 
@@ -102,7 +103,7 @@ def counts(docs: DataFrame, sections: DataFrame | None = None, rule: str = "firs
         sizes = byte_lengths(coder)
         for batch in sliced(batches):
             own = batch.column("text").fill_null("").to_pylist()
-            given = batch.column("spans").to_pylist() if sections is not None else None
+            given = batch.column("spans").to_pylist() if with_spans else None
             ids, offsets = coder.encode(own)
             columns: list[list] = [[] for _ in range(7)]
             for i, text in enumerate(own):
