@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
+from pactum.sources.shared import materialize, shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the folder that driver and executors share.
+__all__ = ["bounded", "filesystem", "materialize", "mix64", "random64", "ranges", "shared_dir", "sliced", "table", "utf8", "whole_groups"]
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it
-    is unset (a local test session) a temporary folder takes its place.
-    """
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pactum-shared-")
-        spark.conf.set(CHECKPOINT_KEY, base)
-    return f"{base.rstrip('/')}/pactum-{name}-{uuid.uuid4().hex}"
+#: Tables of ids with at most so many rows may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again.
+def bounded(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids for one side of a join: broadcast while it is small by count, else left to a shuffle."""
+    from pyspark.sql import functions as F
 
-    It cuts lineage in a way that survives the loss of executors, and fixes
-    whatever the tasks decided (attempts that were retried included).
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

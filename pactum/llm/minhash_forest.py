@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import materialize, mix64, random64, sliced, table, utf8, whole_groups
+from pactum.llm.common import bounded, materialize, mix64, random64, sliced, table, utf8, whole_groups
 from pactum.llm.words import shingle_sets
 
 WORDS = 5
@@ -231,23 +231,32 @@ def _classes(docs: DataFrame, threshold: float, words: int, trees: int, depth: i
     made = materialize(_profiles(docs, words, trees, level), "profiles")
     # A doc_id that is null or repeated can't name a node; its rows go by a negative hash of their shingles.
     unclear = materialize(made.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").select("doc_id"), "unclear")
-    named = made.join(unclear, made["doc_id"].eqNullSafe(unclear["doc_id"]), "left_anti").withColumn("id", F.col("doc_id"))
-    profiles = named.unionByName(made.join(unclear, made["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi").withColumn("id", -1 - F.shiftrightunsigned("low", 2)))
+    some_unclear = not unclear.isEmpty()
+    profiles = made.withColumn("id", F.col("doc_id"))
+    if some_unclear:
+        of = made["doc_id"].eqNullSafe(unclear["doc_id"])
+        profiles = profiles.join(bounded(unclear), of, "left_anti").unionByName(made.join(bounded(unclear), of, "left_semi").withColumn("id", -1 - F.shiftrightunsigned("low", 2)))
     reps = materialize(profiles.groupBy("low", "high", "nodes", "empty").agg(F.min("id").alias("rep"), F.count("*").alias("n_docs")), "representatives")
-    members = reps.filter("not empty").select("rep", "n_docs", "nodes", F.posexplode("nodes").alias("tree", "node"))
+    # Only members of nodes that have several get their other nodes back.
+    members = reps.filter("not empty").select("rep", F.posexplode("nodes").alias("tree", "node"))
     crowded = members.groupBy("tree", "node").agg(F.count("*").alias("m")).filter("m > 1").withColumn("n_blocks", F.ceil(F.col("m") / block).cast("int"))
+    together = materialize(members.join(crowded, ["tree", "node"]).select("rep", "tree", "node", "n_blocks"), "members")
     dealt = (
-        members.join(crowded, ["tree", "node"])
+        together.join(reps.select("rep", "n_docs", "nodes"), "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select("rep", "n_docs", "nodes", "tree", "node", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     )
     by_group = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
     needed = materialize(by_group.mapInArrow(_needed, by_group.schema), "candidates")
-    chosen = needed.select("rep").distinct()
-    texts = docs.withColumnRenamed("doc_id", "rep").join(chosen, "rep", "left_semi")
-    others = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi").withColumn("rep", F.lit(None).cast("long")).select("rep", "text")
-    shingles = _sets(texts.unionByName(others), words).groupBy("rep").agg(F.min("shingles").alias("shingles"))
+    chosen = materialize(needed.select("rep").distinct(), "chosen")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(chosen), "rep", "left_semi")
+    if some_unclear:
+        others = docs.join(bounded(unclear), docs["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi").withColumn("rep", F.lit(None).cast("long")).select("rep", "text")
+        texts = texts.unionByName(others)
+    shingles = _sets(texts, words)
+    if some_unclear:  # else every chosen representative has one row
+        shingles = shingles.groupBy("rep").agg(F.min("shingles").alias("shingles"))
     with_sets = needed.join(shingles, "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
     links = materialize(with_sets.mapInArrow(_verify(threshold), "rep long, links long, least long"), "links")
     linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -294,10 +303,14 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
 
     found, unclear = _classes(docs, threshold, words, trees, depth, recall, block)
     found = materialize(found, "classes")
-    lost = found.filter("id = doc_id and id <> class_id").select("doc_id")
+    lost = materialize(found.filter("id = doc_id and id <> class_id").select("doc_id"), "lost")
     names = docs.columns
-    some = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi")
-    clear = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["doc_id"]), "left_anti").join(lost, "doc_id", "left_anti").select(*names)
+    clear = docs.join(bounded(lost), "doc_id", "left_anti").select(*names)
+    if unclear.isEmpty():
+        return clear
+    of = docs["doc_id"].eqNullSafe(unclear["doc_id"])
+    some = docs.join(bounded(unclear), of, "left_semi")
+    clear = clear.join(bounded(unclear), clear["doc_id"].eqNullSafe(unclear["doc_id"]), "left_anti")
 
     def number(batches):
         import pyarrow as pa
