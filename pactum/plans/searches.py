@@ -9,6 +9,7 @@ from pactum.functions.vocabulary import PARENT_TYPES
 from pactum.operators import lineage, search
 from pactum.plans.diffs import SQL_NORM
 from pactum.sources import adapters as a
+from pactum.sources.shared import materialize
 
 
 def knn_topk(spark, sf_dir):
@@ -33,14 +34,19 @@ def _embedded(df):
     return df.withColumn("vector", search.hashed_embedding(F.col("text")))
 
 
+def _index(clauses):
+    """The written posting table: statistics and look-ups read it, so texts are split into terms once."""
+    return materialize(search.postings(clauses).repartition("term").sortWithinPartitions("term"), "postings")
+
+
 def bm25_topk(spark, sf_dir):
     clauses = _clauses(spark, sf_dir)
-    return search.bm25(_questions(spark, sf_dir), search.postings(clauses), clauses).select("query_id", "clause_id", "doc_id", "score", "rank")
+    return search.bm25(_questions(spark, sf_dir), _index(clauses), clauses).select("query_id", "clause_id", "doc_id", "score", "rank")
 
 
 def hybrid_fusion(spark, sf_dir):
     clauses = _clauses(spark, sf_dir)
-    found = search.hybrid(_embedded(_questions(spark, sf_dir)), search.postings(clauses), _embedded(clauses), 10)
+    found = search.hybrid(_embedded(_questions(spark, sf_dir)), _index(clauses), _embedded(clauses), 10)
     return found.select("query_id", "doc_id", "clause_id", "knn_score", "bm25_score", "score", "rank")
 
 
@@ -48,7 +54,7 @@ def _retrieved(spark, sf_dir):
     """At most five nearest clauses of one category of documents, so that keyword hits fill what is left of eight."""
     clauses, questions = _clauses(spark, sf_dir), _questions(spark, sf_dir)
     near = search.knn(_embedded(questions), _embedded(clauses.filter("doc_type = 'MSA' and pos < 1")), 8).filter("rank <= 5")
-    return search.retrieve(near, search.bm25(questions, search.postings(clauses), clauses, 8), 8), clauses
+    return search.retrieve(near, search.bm25(questions, _index(clauses), clauses, 8), 8), clauses
 
 
 def clause_retrieval_fill(spark, sf_dir):
@@ -70,7 +76,7 @@ def _matched(spark, sf_dir):
     children = docs.filter("doc_type = 'AMENDMENT'").join(shape, "doc_id")
     rep = lineage.representative(clauses.withColumn("body", F.col("text"))).select("doc_id", F.left("text", F.lit(4000)).alias("text"))
     queries = children.join(rep, "doc_id").select(F.col("doc_id").alias("query_id"), "tenant_id", "text", F.col("doc_id").alias("exclude_doc_id"), F.array(*map(F.lit, PARENT_TYPES)).alias("doc_types"), "title", F.substring("structural_hash", 1, 8).alias("hash_prefix"))
-    index = search.postings(clauses)
+    index = _index(clauses)
     hybrid = search.hybrid(_embedded(queries.drop("hash_prefix", "title")), index, _embedded(clauses), 10).select(F.col("query_id").alias("child_id"), "doc_id", "score")
     titled = queries.drop("text").withColumnRenamed("title", "text").filter("text <> ''")
     structural = search.bm25(titled, index, clauses.join(shape, "doc_id"), 20).select(F.col("query_id").alias("child_id"), "doc_id")
