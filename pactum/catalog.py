@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pactum.plans import diffs, searches, states, streams, texts
+from pactum.plans import diffs, requests, searches, states, streams, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (texts, diffs, searches, states, streams):
+for _module in (texts, diffs, searches, states, streams, requests):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.SQL
