@@ -132,7 +132,7 @@ def fit(texts: list[bytes], y: np.ndarray, c: float = 0.01) -> dict:
     later = every_fourth(y)
     if min(int(y.sum()), int((1 - y).sum()), int(y[later].sum()), int((1 - y[later]).sum())) < 5:
         return {"share": float(y.mean()) if len(y) else 1.0}
-    rows = [indicators(t) for t in texts]
+    rows = [indicators(t).astype(np.int32) for t in texts]
     own, good = [r for r, l in zip(rows, later, strict=True) if not l], y[~later]
     counts = [np.ones(1 << BITS), np.ones(1 << BITS)]
     for r, v in zip(own, good, strict=True):
