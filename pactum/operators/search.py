@@ -147,4 +147,6 @@ def top_k(asked: Column, default: int = 8) -> Column:
 def hashed_embedding(text: Column, dimensions: int = 16) -> Column:
     """The default embedder: term counts by a hash of the term, an array of doubles."""
     slots = F.transform(terms(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dimensions))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
+    # As an array's only element the slots are computed once, not again for each dimension.
+    counted = F.transform(F.array(slots), lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(own, lambda s: s == d)).cast("double")))
+    return F.element_at(counted, 1)
