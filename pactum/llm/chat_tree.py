@@ -3,7 +3,9 @@
 Conversations whose first turns are equal share those turns: sorted by the
 hashes of their turns, they stand in depth-first order of the tree that they
 form, and a task that streams them emits each turn once, as a segment below the
-turn before it. A segment has its token ids, the position of its first token
+turn before it. The sort key of a turn holds the first KEYED hashes; where
+conversations still share a turn there, the key is continued by the hashes at
+which their paths part, up to the SHARED-th turn. A segment has its token ids, the position of its first token
 (counted along its own conversation), the token runs of its ancestors, which
 are all that its tokens may attend to besides themselves, and the loss run. A
 row for each conversation names the runs of its path.
@@ -31,6 +33,7 @@ import re
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactum.llm import bpe
@@ -111,6 +114,23 @@ def _chained(batches):
         yield rows([(key, *x) for x in waiting])
 
 
+def _parting(chained: DataFrame) -> DataFrame | None:
+    """conv_id and the rest of its sort key, for conversations that share their KEYED-th turn; none where no two do.
+
+    The rest holds, in order, the nodes that fewer conversations pass than the node
+    before: those at which paths part. A path that ends first comes first.
+    """
+    deep = chained.filter(F.col("idx").between(KEYED - 1, SHARED - 1)).select("conv_id", "idx", "node")
+    common = materialize(deep.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "common-turns")
+    if common.isEmpty():
+        return None
+    order = W.partitionBy("conv_id").orderBy("idx")
+    n = F.coalesce("n", F.lit(1))
+    before = deep.join(common, "node", "left").withColumn("n", n).withColumn("before", F.lag("n").over(order))
+    own = before.filter("before > 1 and n < before").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.hex(F.substring("node", 1, 8)).alias("h")))).alias("l"))
+    return materialize(own.select("conv_id", F.unhex(F.array_join("l.h", "")).alias("rest")), "parting")
+
+
 def _joined(runs: tuple, start: int, stop: int) -> tuple:
     """runs with one more, put together with the last where they touch."""
     if runs and runs[-1][1] == start:
@@ -192,7 +212,12 @@ def forest(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
     chained = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     chained = materialize(chained.mapInArrow(_chained, "key binary, conv_id long, idx long, node binary, role string, text string"), "turns")
-    ordered = chained.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id", "idx")
+    order, rest = ["key"], _parting(chained)
+    if rest is not None:
+        rest = rest.withColumnRenamed("conv_id", "_c")
+        chained = chained.join(rest, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("rest", F.coalesce("rest", F.lit(b"")))
+        order += ["rest"]
+    ordered = chained.repartitionByRange(*order, "conv_id").sortWithinPartitions(*order, "conv_id", "idx")
     return materialize(ordered.mapInArrow(_emit(path), _SEGMENT), "chat-tree")
 
 

@@ -63,6 +63,23 @@ def test_trees_round_trip_and_share(spark):
         assert all(x.stop <= y.start for x, y in zip(r.runs, r.runs[1:], strict=False)) and sum(x.stop - x.start for x in r.runs) == r.position and all(x.stop <= r.start for x in r.runs)
 
 
+def test_turns_beyond_the_keyed_ones_are_emitted_once(spark):
+    """Branches at the 19th, 31st and 41st turn, in turns of conv_id, one path that ends early and one that is null."""
+    def said(c, t):
+        return f"{t}" if t < 18 else f"{t} {c % 2}" if t < 30 else f"{t} {c % 4}" if t < 40 else f"{t} {c % 8}"
+
+    rows = [(c, t, ("user", "assistant")[t % 2], said(c, t)) for c in range(16) for t in range(50)]
+    rows += [(90, t, ("user", "assistant")[t % 2], said(0, t)) for t in range(25)] + [(None, t, ("user", "assistant")[t % 2], said(1, t)) for t in range(45)]
+    segments = chat_tree.forest(spark.createDataFrame(rows, TURN))
+    assert got(chat_tree.read(segments)) == expected(rows)
+    turns = {}
+    for c, t, role, text in rows:
+        turns.setdefault(c, []).append((role, text))
+    own = segments.filter("size(ids) > 0").count()
+    ends = segments.filter("size(ids) = 0").select("shard", "conv_id").collect()
+    assert own == len({(r.shard, tuple(turns[r.conv_id][:n])) for r in ends for n in range(1, len(turns[r.conv_id]) + 1)})
+
+
 @pytest.mark.parametrize("shared", [1, 3])
 def test_trees_beyond_the_shared_turns(monkeypatch, shared):
     """The same generators that tasks run, here in one process, with a low limit of shared turns."""
