@@ -12,7 +12,6 @@ from pactum.sources.shared import materialize
 
 HYBRID, STRUCTURAL, TITLE = 0.60, 0.25, 0.15
 THRESHOLD = 0.7
-MAX_HOPS = 100
 
 
 def representative(clauses: DataFrame) -> DataFrame:
@@ -46,25 +45,28 @@ def combine(hybrid: DataFrame, structural: DataFrame, children: DataFrame, paren
     )
 
 
-def roots(edges: DataFrame, documents: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def roots(edges: DataFrame, documents: DataFrame) -> DataFrame:
     """doc_id, root_id, hops: where following the least parent of each document ends.
 
     A node without a parent is its own root. Pointers double at every step, so h
-    hops take about log2(h) joins; each step is written to the shared folder.
-    The edges must have no cycle; ``roots_sql`` is for those that may.
+    hops take about log2(h) joins, however deep; each step is written to the shared
+    folder. Edges with a cycle raise a ValueError, as a path has no more hops than
+    there are documents; ``roots_sql`` is for those that may have one.
     """
     first = edges.filter("parent_id <> child_id").groupBy("child_id").agg(F.min("parent_id").alias("parent_id"))
     step = documents.select("doc_id").join(first.withColumnRenamed("child_id", "doc_id"), "doc_id", "left")
     state = step.select("doc_id", F.coalesce("parent_id", "doc_id").alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("hops"))
-    n = 1
-    while n < max_hops:
+    n, most = 1, None
+    while True:
         state = materialize(state, "roots")
         if state.filter("hops >= %d" % n).isEmpty():
-            break
+            return state
+        most = state.count() if most is None else most
+        if n > most:
+            raise ValueError("the edges have a cycle")
         ahead = state.select(F.col("doc_id").alias("_d"), F.col("root_id").alias("_r"), F.col("hops").alias("_h"))
         state = state.join(ahead, F.col("root_id") == F.col("_d"), "left").select("doc_id", F.coalesce("_r", "root_id").alias("root_id"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
         n *= 2
-    return state
 
 
 def roots_sql(spark, edges: DataFrame, documents: DataFrame) -> DataFrame:

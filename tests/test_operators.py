@@ -152,6 +152,15 @@ def test_roots_and_cycles(spark):
     assert {r.doc_id: r.root_id for r in lineage.roots_sql(spark, loop, nodes.filter("doc_id = 5")).collect()} == {5: 5}
 
 
+def test_roots_of_deep_chains(spark):
+    nodes = spark.range(301).select(F.col("id").cast("int").alias("doc_id"))
+    edges = nodes.filter("doc_id > 0").select((F.col("doc_id") - 1).alias("parent_id"), F.col("doc_id").alias("child_id"))
+    assert {r.doc_id: (r.root_id, r.hops) for r in lineage.roots(edges, nodes).collect()} == {i: (0, i) for i in range(301)}
+    below = edges.filter("child_id > 1").unionByName(spark.createDataFrame([(7, 1)], "parent_id int, child_id int"))
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.roots(below, nodes)
+
+
 def test_chain_order_and_ghosts(spark):
     edges = spark.createDataFrame([(1, 4), (1, 3), (1, 2), (1, 9)], "parent_id int, child_id int")
     docs = spark.createDataFrame([(2, "AMENDMENT", "active", "2024-02-01", "b"), (3, "AMENDMENT", "signed", "2024-01-01", "c"), (4, "AMENDMENT", "active", None, "d")], "doc_id int, doc_type string, lifecycle string, effective_date string, title string")
