@@ -1,12 +1,17 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line. A multinomial logistic regression over sparse hashed word
-1- to 3-grams tells licence families from an ``unknown`` class. It is trained on
-notices made from the families' names and usual phrases, and on a bounded sample
-of the corpus's own paragraphs as unknown ones. A temperature, fitted on notices
+A paragraph is a line, a group of lines that a family's name is wrapped over, or
+a run of lines between lines without words, in sliding windows where it is long.
+A multinomial logistic regression over sparse hashed word 1- to 3-grams tells
+licence families from an ``unknown`` class. It is trained on notices made from the
+families' names and usual phrases, on the licences' own paragraphs and headers and
+excerpts of them, and on a bounded sample of the corpus's own paragraphs as
+unknown ones. A temperature, fitted on notices
 and paragraphs that training has not seen, calibrates its chances; below the cut
 a paragraph is unknown. A family found is confirmed where the paragraph holds
-most word pairs of one of the family's templates.
+most word pairs of one of the family's templates: its names and paragraphs. Of
+overlapping paragraphs of one family, one row stays: a confirmed one, else the
+narrowest; ``paragraph`` is the number of its first line.
 
 A paragraph without any n-gram of a notice gets only weights of unknown
 paragraphs, so it is unknown; that is decided for all by array operations, and
@@ -23,7 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import sliced, table, utf8
+from pactum.llm.common import ranges, sliced, table, utf8
+from pactum.llm.licence_texts import TEXTS
 from pactum.llm.words import grams, hash_words, member
 
 CUT = 0.5
@@ -31,6 +37,9 @@ CONFIRM = 0.75
 SAMPLE_DOCS = 600
 SAMPLE_LINES = 2000
 LONGEST_SAMPLE_TEXT = 64 << 10
+#: Words of a window, and between the starts of two. Templates are compared with a step more on either side.
+WINDOW, STEP = 128, 64
+EXCERPT = 24
 
 #: Names of licence families, as notices write them. Fixed values.
 FAMILIES = {
@@ -68,6 +77,12 @@ def notices() -> tuple[list[str], list[int]]:
                 for version in _VERSIONS:
                     texts.append(frame.format(name + version) + ".")
                     numbers.append(number)
+    for number, family in enumerate(FAMILIES, 1):
+        for text in TEXTS.get(family, []):
+            words = text.split()
+            parts = [text] + [" ".join(words[i : i + EXCERPT]) for i in range(0, len(words) - EXCERPT // 2, 4) if len(words) > EXCERPT]
+            texts += parts
+            numbers += [number] * len(parts)
     return texts, numbers
 
 
@@ -120,6 +135,7 @@ def fit(unknown: list[str], rounds: int = 60, rate: float = 0.5, ridge: float =
     texts, y = notices()
     templates = _templates()
     every = [t for own in templates.values() for t in own]
+    unknown = unknown + [" ".join(unknown[i : i + 4]) for i in range(0, len(unknown), 4)]  # lines, and runs of lines
     unknown = [t for t in unknown if t.strip() and _similarity(t, every) < CONFIRM]
     texts, y = texts + unknown, np.array(y + [0] * len(unknown))
     order = np.random.default_rng(3).permutation(len(texts))
@@ -168,17 +184,23 @@ def fit(unknown: list[str], rounds: int = 60, rate: float = 0.5, ridge: float =
 
 
 def _pairs(text: str) -> set:
-    words, _ = _encoded([text])
+    return _word_pairs(_encoded([text])[0])
+
+
+def _word_pairs(words: np.ndarray) -> set:
     return set(grams(words, 2, 13).tolist()) if len(words) > 1 else set(words.tolist())
 
 
 def _templates() -> dict[str, list[set]]:
-    return {f: [_pairs(n) for n in names] for f, names in FAMILIES.items()}
+    return {f: [_pairs(n) for n in [*names, *TEXTS.get(f, [])]] for f, names in FAMILIES.items()}
 
 
 def _similarity(text: str, templates: list[set]) -> float:
     """The greatest share of a template's word pairs that the text holds."""
-    own = _pairs(text)
+    return _nearest(_pairs(text), templates)
+
+
+def _nearest(own: set, templates: list[set]) -> float:
     return max(len(own & t) / len(t) for t in templates)
 
 
@@ -190,36 +212,87 @@ def unknown_sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_lines: int = SA
     return [line for t in rows["text"] for line in t.split("\n") if line.strip()][:n_lines]
 
 
+def _wrapped(words: np.ndarray, bounds: np.ndarray, doc: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of neighbouring lines over whose ends a name's word pair goes, at most a step before and after those ends."""
+    ends = bounds[1:-1]
+    cross = np.flatnonzero((np.diff(bounds)[:-1] > 0) & (np.diff(bounds)[1:] > 0) & (doc[:-1] == doc[1:]))
+    pairs = grams(words, 2, 13)
+    cross = cross[member(pairs[ends[cross] - 1], names)] if len(cross) else cross
+    if not len(cross):
+        return cross, cross
+    heads = np.flatnonzero(np.diff(cross, prepend=-2) > 1)
+    first, last = cross[heads], cross[np.append(heads[1:], len(cross)) - 1]
+    return np.maximum(bounds[first], ends[first] - STEP), np.minimum(bounds[last + 2], ends[last] + STEP)
+
+
+def _windows(bounds: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges of the windows of all runs of lines with words, and of their runs; runs of one short line are none."""
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    new = np.ones(len(full), bool)
+    new[1:] = (np.diff(full) > 1) | (doc[full[1:]] != doc[full[:-1]])
+    heads = np.flatnonzero(new)
+    stops = np.append(heads[1:], len(full))
+    low, high = bounds[full[heads]], bounds[full[stops - 1] + 1]
+    kept = (stops - heads > 1) | (high - low > WINDOW)
+    low, high = low[kept], high[kept]
+    n = np.maximum(-(-(high - low - WINDOW) // STEP), 0) + 1
+    run = np.repeat(np.arange(len(low)), n)
+    starts = low[run] + STEP * ranges(np.zeros(len(n), np.int64), n)
+    return starts, np.minimum(starts + WINDOW, high[run]), low[run], high[run]
+
+
 def scan(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
-    """A row for each licence paragraph: doc_id, paragraph (line from 0), family, probability, similarity, confirmed."""
+    """A row for each licence paragraph: doc_id, paragraph (its first line from 0), family, probability, similarity, confirmed."""
     names = [UNKNOWN, *FAMILIES]
 
+    def told(words, bounds):
+        """(paragraph, family, chance) of those that are no unknown ones."""
+        numbers, owners = features(words, bounds)
+        some = np.unique(owners[member(numbers, model["known"])])
+        if not len(some):
+            return []
+        kept = np.isin(owners, some)
+        p = _softmax(_logits(model, numbers[kept], np.searchsorted(some, owners[kept]), len(some)) / model["temperature"])
+        best = p[:, 1:].argmax(axis=1) + 1
+        return [(int(some[i]), names[best[i]], float(p[i, best[i]])) for i in np.flatnonzero(p[np.arange(len(some)), best] >= cut).tolist()]
+
     def run(batches):
         import pyarrow as pa
 
         templates = _templates()
-        for batch in sliced(batches, size=4 << 20):
+        pairs = np.unique(np.array([h for own in FAMILIES.values() for n in own for h in _pairs(n)], np.uint64))
+        for batch in sliced(batches, size=2 << 20):
             texts = batch.column("text").fill_null("").to_pylist()
             every = [t.split("\n") for t in texts]
-            flat = [line for lines in every for line in lines]
-            words, bounds = _encoded(flat)
-            numbers, owners = features(words, bounds)
-            some = np.unique(owners[member(numbers, model["known"])])
-            found = []
-            if len(some):
-                kept = np.isin(owners, some)
-                p = _softmax(_logits(model, numbers[kept], np.searchsorted(some, owners[kept]), len(some)) / model["temperature"])
-                best = p[:, 1:].argmax(axis=1) + 1
-                found = [(int(some[i]), names[best[i]], float(p[i, best[i]])) for i in np.flatnonzero(p[np.arange(len(some)), best] >= cut).tolist()]
-            if not found:
+            words, bounds = _encoded([line for lines in every for line in lines])
+            if not len(words):
                 continue
             starts = np.cumsum([0] + [len(x) for x in every])
-            doc = np.searchsorted(starts, [i for i, _, _ in found], "right") - 1
-            close = [_similarity(flat[i], templates[f]) for i, f, _ in found]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array(doc)), "paragraph": pa.array([i - int(starts[d]) for (i, _, _), d in zip(found, doc, strict=True)], pa.int32()),
-                "family": [f for _, f, _ in found], "probability": [c for _, _, c in found], "similarity": close, "confirmed": [s >= CONFIRM for s in close],
-            })
+            doc = np.repeat(np.arange(len(every)), np.diff(starts))
+            # Word ranges from narrow to wide: lines, wrapped names, windows; and those to compare with templates.
+            a, b = _wrapped(words, bounds, doc, pairs)
+            c, d, low, high = _windows(bounds, doc)
+            levels = [(bounds[:-1], bounds[1:], bounds[:-1], bounds[1:]), (a, b, a, b), (c, d, np.maximum(c - STEP, low), np.minimum(d + STEP, high))]
+            rows: dict = {}
+            for level, (first, stop, left, right) in enumerate(levels):
+                sizes = stop - first
+                chosen = words if not level else words[ranges(first, sizes)]
+                for i, family, chance in told(chosen, bounds if not level else np.append(0, np.cumsum(sizes))):
+                    x, y = int(first[i]), int(stop[i])
+                    line = int(np.searchsorted(bounds, x, "right")) - 1
+                    close = _nearest(_word_pairs(words[left[i] : right[i]]), templates[family])
+                    own = rows.setdefault((int(doc[line]), family), [])
+                    inner = [r for r in own if r[0] < y and x < r[1]] if level else []
+                    if any(r[4] >= CONFIRM for r in inner) or inner and close < CONFIRM:
+                        continue
+                    own[:] = [r for r in own if r not in inner] + [(x, y, line, chance, close)]
+            found = sorted((line, d, family, chance, close) for (d, family), own in rows.items() for _, _, line, chance, close in own)
+            if found:
+                lines, owner, family, chance, close = zip(*found, strict=True)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").take(pa.array(owner)), "paragraph": pa.array([i - int(starts[d]) for i, d in zip(lines, owner, strict=True)], pa.int32()),
+                    "family": list(family), "probability": list(chance), "similarity": list(close), "confirmed": [s >= CONFIRM for s in close],
+                })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, paragraph int, family string, probability double, similarity double, confirmed boolean")

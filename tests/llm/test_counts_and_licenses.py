@@ -101,6 +101,22 @@ def test_notices_are_found_and_confirmed(documents, model):
     assert all(r.confirmed and r.doc_id == 1 and r.probability >= licenses.CUT for r in rows)
 
 
+def test_wrapped_names_and_licence_texts_are_confirmed(documents, model):
+    rng = random.Random(4)
+    said = lambda n: " ".join("".join(rng.choice(["th", "er", "on", "an", "in"]) for _ in range(3)) for _ in range(n))
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    bsd = "Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    pairs = [
+        (1, f"{said(9)}\nThis work is licensed under the GNU General\nPublic License, version 3.\n{said(9)}"), (2, "Released under the GNU\nGeneral\nPublic License"),
+        (3, f"{said(8)}\n\n{mit}\n\n{said(8)}"), (4, f"{said(8)}\n\n{bsd}\n"), (5, f"{isc}\n\n{said(7)}"), (6, f"{said(150)}\n{mit}\n{said(200)}"), (7, said(400)), (8, "\n".join(said(9) for _ in range(60))),
+    ]
+    rows = licenses.scan(documents(pairs), model).collect()
+    confirmed = [(r.doc_id, r.family) for r in rows if r.confirmed]
+    assert sorted(confirmed) == [(1, "GPL"), (2, "GPL"), (3, "MIT"), (4, "BSD"), (5, "ISC"), (6, "MIT")]
+    assert {r.doc_id: r.paragraph for r in rows if r.confirmed and r.doc_id < 6} == {1: 1, 2: 0, 3: 2, 4: 2, 5: 0}
+
+
 def test_odd_rows_have_no_licence(documents, odd, model):
     assert licenses.scan(documents(odd), model).count() == 0
     assert licenses.scan(documents([]), licenses.fit([])).count() == 0
