@@ -1,10 +1,12 @@
-"""Near-duplicate join: MinHash LSH forest, then exact Jaccard of word shingles.
+"""Near-duplicate join: MinHash in fixed bands, then exact Jaccard of word shingles.
 
 Texts with equal sets of five-word shingles are one class of copies, and one
-representative of each goes on. Its signature is cut into trees; in each tree
-the representatives form a prefix trie of minimum hashes. The prefix that must
-match is shortened, level by level, until pairs at the threshold meet the
-target recall; representatives under one node of that level are candidates.
+representative of each goes on. Its signature is cut into TREES bands of
+``prefix_depth`` minimum hashes: the longest ones by which pairs at the threshold
+meet the target recall. Representatives of an equal band, a node, are candidates.
+This takes the place of an LSH forest, of which it is the one level that the
+target recall asks for: tries that shorten prefixes on the data would make the
+candidates of a pair depend on the corpus around it, and are not built.
 
 A node's members are dealt into blocks, and blocks are compared two at a time,
 so a node of any size is spread over tasks, every pair of it is compared and no
