@@ -114,7 +114,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> dict:
     toxic, ordinary = ([t for t, v, c in zip(texts, y, later, strict=True) if v == k and not c] for k in (1, 0))
     if min(len(toxic), len(ordinary), int(y[later].sum()), int((1 - y[later]).sum())) < 5:
         return {"share": share}
-    base = _dictionary(_BASE, [t[i : i + 256] for t in ordinary[:2000] for i in range(0, len(t), 256)], k=64, d=8)
+    base = _dictionary(_BASE, [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)], k=64, d=8)
     own = [_dictionary(_OWN, _vocabulary(a, b), k=32, d=6) for a, b in ((toxic, ordinary), (ordinary, toxic))]
     size = max(map(len, own))  # of equal length, so that matches in the common part cost the same
     model = {"toxic": own[0].rjust(size, b"\n") + base, "ordinary": own[1].rjust(size, b"\n") + base}

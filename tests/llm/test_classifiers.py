@@ -35,6 +35,17 @@ def test_toxic_words_are_found(toxic_corpus):
     assert score(texts[500]) == score(texts[500]) and 0 <= score(b"") <= 1
 
 
+def test_the_shared_dictionary_is_trained_on_all_ordinary_texts(monkeypatch):
+    y = np.array([int(i % 100 == 0) for i in range(3200)])
+    texts = [f"ordinary text of number {i}".encode() for i in range(len(y))]
+    given = []
+    real = toxicity._dictionary
+    monkeypatch.setattr(toxicity, "_dictionary", lambda size, samples, **o: given.append((size, samples)) or real(size, samples, **o))
+    toxicity.fit(texts, y)
+    later = labelled.every_fourth(y)
+    assert [sorted(s) for n, s in given if n == toxicity._BASE] == [sorted(t for t, v, c in zip(texts, y, later, strict=True) if not v and not c)]
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
     for query, name, cut, least in ((toxicity.op4_toxicity, "toxic", 0.5, 0.9), (quality.op9_quality, "quality", 0.3, 0.98)):
