@@ -25,6 +25,13 @@ _PLACE = random64(1 << 12, 23) | np.uint64(1)
 _STEP = 1 << 20
 
 
+def _coefficients(place: np.ndarray) -> np.ndarray:
+    """A fixed odd number for each place in a word: from a table where words are short, else by the table's rule."""
+    if not len(place) or place.max() < len(_PLACE):
+        return _PLACE[place]
+    return mix64((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(23)) | np.uint64(1)
+
+
 def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word and the end).
 
@@ -51,8 +58,8 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         if len(kept):
             heads = np.flatnonzero(first[kept])
             lengths = np.diff(np.append(heads, len(kept)))
-            place = (np.arange(len(kept)) - np.repeat(heads, lengths)) & (len(_PLACE) - 1)
-            sums = np.add.reduceat(_VALUE[low[kept]] * _PLACE[place], heads)
+            place = np.arange(len(kept)) - np.repeat(heads, lengths)
+            sums = np.add.reduceat(_VALUE[low[kept]] * _coefficients(place), heads)
             hashes.append(mix64(sums + lengths.astype(np.uint64)))
             starts.append(kept[heads] + at)
         at = to
