@@ -1,11 +1,12 @@
 """Exact byte-level BPE of whole texts at corpus speed.
 
 The tokenizers library encodes every distinct pre-token once for each worker;
-repeats are gathered from a bounded cache with array operations. Pre-tokens
-are the runs that the vocabulary's own split pattern yields; BPE never joins
-across them, so the ids equal those of encoding the whole text. A text with
-characters beyond Latin letters, with control characters or with a special
-token's string goes to the library whole.
+repeats are gathered from a bounded cache with array operations. The cache is
+found by a hash and then compared character by character; a text with a pre-token
+that merely has another's hash goes to the library whole. Pre-tokens are the runs
+that the vocabulary's own split pattern yields; BPE never joins across them, so
+the ids equal those of encoding the whole text. A text with Latin letters, with control characters or with a special token's string goes to
+the library whole.
 """
 
 from __future__ import annotations
@@ -63,6 +64,9 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, self.dtype)
+        self.text_at = np.zeros(0, np.int64)
+        self.text_length = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint16)
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each begins and the end); end: an id put after each text."""
@@ -171,7 +175,15 @@ class Encoder:
         ids = self.pool[ranges(self.at[slots][inverse], size)]
         ends = np.concatenate([[0], np.cumsum(size)])
         per_text = np.diff(ends[np.searchsorted(starts, offsets)])
-        return ids, per_text
+        alike = self.text_length[slots][inverse] == stops - starts
+        same = self.text[ranges(self.text_at[slots][inverse][alike], (stops - starts)[alike])] == (chars if alike.all() else chars[ranges(starts[alike], (stops - starts)[alike])])
+        if alike.all() and same.all():
+            return ids, per_text
+        places = ranges(starts[alike], (stops - starts)[alike])
+        wrong = set((np.searchsorted(offsets, np.concatenate([starts[~alike], places[~same]]), "right") - 1).tolist())
+        where = np.cumsum(per_text) - per_text
+        out = [np.array(self._library([t])[0], self.dtype) if i in wrong else ids[where[i] : where[i] + per_text[i]] for i, t in enumerate(texts)]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
     def _starts(self, chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin, by the byte-level split pattern."""
@@ -228,6 +240,9 @@ class Encoder:
         self.keys = np.insert(self.keys, where, keys)
         self.at = np.insert(self.at, where, at)
         self.length = np.insert(self.length, where, length)
+        self.text_at = np.insert(self.text_at, where, len(self.text) + np.cumsum(stops - starts) - (stops - starts))
+        self.text_length = np.insert(self.text_length, where, stops - starts)
+        self.text = np.concatenate([self.text, chars[ranges(starts, stops - starts)].astype(np.uint16)])
 
 
 def encoder(path: str, _kept: dict = {}) -> Encoder:  # noqa: B006  one encoder for each worker
