@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pactum.sources.shared import materialize, shared_dir
 
-__all__ = ["bounded", "filesystem", "materialize", "mix64", "random64", "ranges", "shared_dir", "sliced", "table", "utf8", "whole_groups"]
+__all__ = ["bounded", "fields", "filesystem", "free_name", "materialize", "mix64", "own_columns", "random64", "ranges", "set_aside", "shared_dir", "sliced", "table", "utf8", "whole_groups"]
 
 #: Tables of ids with at most so many rows may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -20,6 +20,37 @@ def bounded(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name with underscores put before it until no column is called so, in any case of letters."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """docs with own columns of these names called by free ones, so that an operator's columns can take the names."""
+    taken, made = list(docs.columns), {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in made:
+            other = free_name([*taken, *names], c)
+            docs = docs.withColumnRenamed(c, other)
+            taken.append(other)
+    return docs
+
+
+def own_columns(docs: DataFrame) -> list:
+    """The columns of docs, whatever characters their names hold."""
+    from pyspark.sql import functions as F
+
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def fields(docs: DataFrame) -> str:
+    """The schema of docs as DDL."""
+    return ", ".join("`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

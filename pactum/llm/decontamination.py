@@ -13,7 +13,8 @@ time, so neither driver nor task memory grows with the benchmark.
 
 Cases: a null text has no words; null item_ids make hits but are not listed;
 repeated item rows count once; documents keep one result a row, whatever their
-doc_id; an empty benchmark leaves all documents clean; other columns are ignored.
+doc_id; an empty benchmark leaves all documents clean. Other columns stay as they
+are; ``contaminated`` puts those called like its results under free names.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import filesystem, materialize, ranges, shared_dir, sliced, table, utf8
+from pactum.llm.common import fields, filesystem, free_name, materialize, own_columns, ranges, set_aside, shared_dir, sliced, table, utf8
 from pactum.llm.words import grams, hash_words, member
 
 SPAN = 10
 GRAM = 5
 BLOCK_BYTES = 16 << 20
-_RESULT = "n_words long, n_hit long, items array<string>"
+FOUND = ("n_words", "n_hit", "items")
 
 
 def kept(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -168,10 +169,12 @@ def scan(raw, offsets, blocks: list[str], span: int = SPAN, gram: int = GRAM):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """docs with n_words, n_hit and items (ids as strings, sorted), one row for each of docs."""
+    return _marked(set_aside(docs, FOUND), benchmark, span, gram, FOUND)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, names: tuple[str, str, str]) -> DataFrame:
+    """docs with the three results under these names."""
     blocks = index(benchmark, span, gram)
-    names = {c: f"_{c}" for c in ("n_words", "n_hit", "items") if c in docs.columns}
-    docs = docs.withColumnsRenamed(names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
         import pyarrow as pa
@@ -180,14 +183,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
             raw, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
             n, hits, found, _, _ = scan(raw, offsets, blocks, span, gram)
             items = pa.array([sorted(found.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(hits), items], names=[*batch.schema.names, "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(hits), items], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{fields}, {_RESULT}")
+    return docs.mapInArrow(run, f"{fields(docs)}, `{names[0]}` long, `{names[1]}` long, `{names[2]}` array<string>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no window with an item, with their own columns."""
-    return contaminated(docs, benchmark).filter("n_hit = 0").select(*docs.columns)
+    names = tuple(free_name(docs.columns, n) for n in FOUND)
+    return _marked(docs, benchmark, SPAN, GRAM, names).filter(F.col(names[1]) == 0).select(*own_columns(docs))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

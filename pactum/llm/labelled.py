@@ -2,17 +2,23 @@
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not 0. A sample
 takes a set number of ids of either label, least hash first, from the labels
-alone and then fetches their texts; only those texts reach the driver.
+alone and then fetches their texts, one an id and within a set number of bytes;
+only those texts reach the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pactum.llm.common import fields, set_aside, sliced
+
 #: Longer texts stay out of the training sample (never out of scoring), so that its bytes have a bound too.
 LONGEST_SAMPLE_TEXT = 64 << 10
+#: Bytes of all sampled texts; ids of greater hash than those that fit are left out.
+SAMPLE_BYTES = 96 << 20
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -20,10 +26,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int) -> tuple[list[bytes], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
     """(texts, labels) of at most ``ones`` and ``zeros`` training rows, in the order of their ids' hashes.
 
-    Null labels and ids are left out; of repeated labels of an id the greatest counts.
+    Null labels and ids are left out; of repeated labels of an id the greatest
+    counts, of its texts the least.
     """
     known = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -35,8 +42,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.filter(F.octet_length("text") <= LONGEST_SAMPLE_TEXT)
     # The chosen ids have a fixed bound, so this side may be broadcast whatever the corpus.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", "text").toPandas().sort_values(["h", "doc_id", "text"])
-    rows = rows.drop_duplicates("doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("text").alias("text"))
+    # A running sum over the bounded sample alone.
+    size = F.sum(F.octet_length("text")).over(W.orderBy("h", "doc_id"))
+    rows = found.withColumn("size", size).filter(F.col("size") <= most_bytes).select("h", "doc_id", "y", "text").toPandas().sort_values(["h", "doc_id"])
     return [t.encode() for t in rows["text"]], rows["y"].to_numpy(np.int64)
 
 
@@ -68,12 +77,11 @@ def chance(z) -> np.ndarray:
 
 
 def scored(docs: DataFrame, scorer, column: str = "score") -> DataFrame:
-    """docs with a score for each whole text; scorer: makes, once in a task, a function from bytes to a chance."""
-    from pactum.llm.common import sliced
+    """docs with a score for each whole text; scorer: makes, once in a task, a function from bytes to a chance.
 
-    if column in docs.columns:
-        docs = docs.withColumnRenamed(column, f"_{column}")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    A column of docs that is called like the score's stays, under a free name.
+    """
+    docs = set_aside(docs, (column,))
 
     def run(batches):
         import pyarrow as pa
@@ -83,7 +91,7 @@ def scored(docs: DataFrame, scorer, column: str = "score") -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"").to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(score(t)) for t in texts], pa.float64())], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+    return docs.mapInArrow(run, f"{fields(docs)}, `{column}` double")
 
 
 def verdicts(docs: DataFrame, scorer, cut: float) -> DataFrame:

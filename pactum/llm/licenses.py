@@ -205,10 +205,10 @@ def _nearest(own: set, templates: list[set]) -> float:
 
 
 def unknown_sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_lines: int = SAMPLE_LINES) -> list[str]:
-    """At most n_lines lines of the n_docs documents of least id hash: the bound holds whatever the corpus."""
+    """At most n_lines lines of the n_docs documents of least id hash, of repeated ids the least text: the bound holds whatever the corpus."""
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= LONGEST_SAMPLE_TEXT)
-    rows = texts.join(F.broadcast(ids), "doc_id").select("h", "doc_id", "text").toPandas().sort_values(["h", "doc_id", "text"])
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text")).toPandas().sort_values(["h", "doc_id"])
     return [line for t in rows["text"] for line in t.split("\n") if line.strip()][:n_lines]
 
 

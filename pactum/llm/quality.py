@@ -14,15 +14,16 @@ of them; scoring reads every byte of every text.
 Cases: null and empty texts have no feature and get the intercept's score; equal
 texts have equal scores whatever their other columns; without rows of both
 labels the score is the share of good training rows (1 without any); an empty
-table gives no rows.
+table gives no rows; columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pactum.llm.common import random64, table
+from pactum.llm.common import free_name, own_columns, random64, table
 from pactum.llm.labelled import chance, every_fourth, logistic, sample, scored, verdicts
 
 ONES, ZEROS = 3000, 3000
@@ -161,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, ones: int = ONES, zeros: int = ZER
 
 def keep(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score reaches the cut."""
-    return scored(docs, scorer(model), "_quality").filter(f"_quality >= {cut}").select(*docs.columns)
+    score = free_name(docs.columns, "quality")
+    return scored(docs, scorer(model), score).filter(F.col(score) >= cut).select(*own_columns(docs))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

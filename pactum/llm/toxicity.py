@@ -16,7 +16,7 @@ reads every byte of every text.
 Cases: null and empty texts have one empty window, whose lengths are equal;
 equal texts have equal scores whatever their other columns; without rows of both
 labels the score is the share of toxic training rows (0 without any); an empty
-table gives no rows.
+table gives no rows; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pactum.llm.common import table
+from pactum.llm.common import free_name, own_columns, table
 from pactum.llm.labelled import chance, every_fourth, logistic, sample, scored, verdicts
 
 ONES, ZEROS = 2500, 7500
@@ -141,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, ones: int = ONES, zeros: int = ZER
 
 def keep(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score is below the cut."""
-    return scored(docs, scorer(model), "_toxicity").filter(f"_toxicity < {cut}").select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    return scored(docs, scorer(model), score).filter(F.col(score) < cut).select(*own_columns(docs))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
