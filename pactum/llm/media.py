@@ -12,10 +12,12 @@ quantiser 8, so that every sample of the block is that byte exactly; one restart
 interval for each 64 bytes. The byte count stands in the INFO list, as the last
 frame may end with rows of zeros.
 
-Frames bring their own Huffman tables. Cases: null and empty texts make 64 zero
-bytes; a frame that isn't decodable baseline JPEG counts in ``damaged`` and is
-skipped, as a null or damaged container gives no clips; equal bytes give equal
-media; an empty table gives no rows.
+Frames without Huffman tables, as many cameras write them, get the standard's
+own. Cases: null and empty texts make 64 zero bytes; a frame that isn't decodable
+baseline JPEG counts in ``damaged`` and is skipped in clips, and makes the payload
+null; a null or damaged container gives no clips; equal bytes give equal media;
+an empty table gives no rows; ``clips`` keeps other columns, those called like
+its own under free names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import sliced, table
+from pactum.llm.common import fields, own_columns, set_aside, sliced, table
 
 ROW = 64
 ROWS = 32
@@ -213,6 +215,27 @@ def _table(counts: bytes, symbols: bytes) -> np.ndarray:
     return out
 
 
+# The Huffman tables of the JPEG standard's annex K, by class and number: counts by length, then symbols. Fixed values.
+_STANDARD = {
+    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: (
+        "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a "
+        "34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 8a "
+        "92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da "
+        "e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+    0x11: (
+        "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a "
+        "35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 88 89 8a "
+        "92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da "
+        "e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+}
+
+
 def _parse(head: bytes) -> dict:
     """Tables and layout from a frame's bytes before its entropy-coded data."""
     out: dict = {"quantisers": {}, "codes": {}, "restart": 0}
@@ -244,6 +267,8 @@ def _parse(head: bytes) -> dict:
         at += 2 + size
     if "parts" not in out or set(out.get("scan", ())) != {p[0] for p in out["parts"]}:
         raise ValueError("not one interleaved scan")
+    if not out["codes"]:
+        out["codes"] = {k: _table(bytes.fromhex(counts), bytes.fromhex(symbols)) for k, (counts, symbols) in _STANDARD.items()}
     return out
 
 
@@ -416,7 +441,7 @@ def shots(planes: list, bins: int = BINS, lookback: int = LOOKBACK, floor: float
 
 
 def described(data: bytes | None) -> dict:
-    """Payload (of ``encode``'s media) and clips of an AVI."""
+    """Payload (of ``encode``'s media; null where a frame is damaged) and clips of an AVI."""
     empty = {"payload": b"", "clips": [], "damaged": 0, "frames": 0}
     try:
         found = frames(data or b"")
@@ -429,7 +454,7 @@ def described(data: bytes | None) -> dict:
 def _summary(found: dict, planes: list) -> dict:
     good = [p for p in planes if p is not None]
     size = int(found["comment"]) if found["comment"].isdigit() else 0
-    payload = b"".join(p.tobytes() for p in good)[:size] if size else b""
+    payload = None if len(good) < len(planes) else b"".join(p.tobytes() for p in good)[:size]
     clips = [
         {"clip": i, "start_s": a * found["step"], "end_s": b * found["step"], "n_frames": b - a, "mean_luma": float(np.mean([p.mean() for p in good[a:b]]))}
         for i, (a, b) in enumerate(shots(good))
@@ -460,6 +485,8 @@ def digested(batches):
             s = _summary(f, planes[at : at + n])
             at += n
             p = s["payload"]
+            if p is None:
+                raise ValueError("stored media is damaged")
             feature = f"{s['frames']} frames;" + ";".join(f"{c['start_s']:.2f}-{c['end_s']:.2f}:{c['mean_luma']:.3f}" for c in s["clips"])
             rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), feature))
         names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -474,26 +501,28 @@ def texts_to_media(docs: DataFrame) -> DataFrame:
 
 def clips(media: DataFrame, column: str = "media") -> DataFrame:
     """A row for each shot of each AVI in ``column``, with the other columns of media."""
-    others = [f for f in media.schema.fields if f.name != column]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    made = ("clip", "start_s", "end_s", "n_frames", "mean_luma")
+    media = set_aside(media, tuple(n for n in made if n != column))
+    others = [c for c in media.columns if c != column]
+    rest = media.drop(column)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, text=column):
             at, rows = [], []
             for i, m in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
                 for c in described(m)["clips"]:
                     at.append(i)
                     rows.append(c)
             if rows:
-                kept = batch.select([f.name for f in others]).take(pa.array(at, pa.int64()))
+                kept = batch.select(others).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, *(pa.array([r[n] for r in rows], k) for n, k in (("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n_frames", pa.int32()), ("mean_luma", pa.float64())))],
-                    names=[*(f.name for f in others), "clip", "start_s", "end_s", "n_frames", "mean_luma"],
+                    names=[*others, *made],
                 )
 
-    return media.select(*[F.col(f"`{f.name}`") for f in others], column).mapInArrow(run, f"{fields}clip int, start_s double, end_s double, n_frames int, mean_luma double")
+    return media.select(*own_columns(rest), column).mapInArrow(run, ", ".join([*([fields(rest)] if others else []), "clip int, start_s double, end_s double, n_frames int, mean_luma double"]))
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
