@@ -13,7 +13,8 @@ Tokens that touch no section count under section -1, so a document's counts add
 up to its tokens.
 
 Cases: a null text is an empty one with one empty section; sections that lie
-outside the text or are empty have no tokens; overlapping sections are an error;
+outside the text or are empty have no tokens, those with a null bound don't
+count; where sections overlap, the later one begins where those before it end;
 repeated rows count each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -49,6 +50,16 @@ def lines(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans without their overlaps: each begins where those before it end, at the earliest."""
+    out, end = [], 0
+    for a, b in spans:
+        a = max(a, end)
+        end = max(a, b)
+        out.append((a, end))
+    return out
+
+
 def token_spans(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of tokens of these byte sizes; one that holds part of a character spans all of it."""
     ends = np.cumsum(sizes)
@@ -93,7 +104,7 @@ def counts(docs: DataFrame, sections: DataFrame | None = None, rule: str = "firs
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_spans = sections is not None
     if with_spans:
-        spans = sections.groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+        spans = sections.filter("start is not null and stop is not null").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
         texts = texts.join(spans, texts["doc_id"].eqNullSafe(spans["_d"]), "left").select("doc_id", "text", "spans")
 
     def run(batches):
@@ -107,7 +118,7 @@ def counts(docs: DataFrame, sections: DataFrame | None = None, rule: str = "firs
             ids, offsets = coder.encode(own)
             columns: list[list] = [[] for _ in range(7)]
             for i, text in enumerate(own):
-                spans = lines(text) if given is None else [(s["start"], s["stop"]) for s in given[i] or ()]
+                spans = lines(text) if given is None else apart([(s["start"], s["stop"]) for s in given[i] or ()])
                 x, y = token_spans(text, sizes[ids[offsets[i] : offsets[i + 1]]])
                 to = attributed(x, y, spans, rule)
                 n = np.bincount(to + 1, minlength=len(spans) + 1)
