@@ -1,25 +1,34 @@
-"""Near-duplicate join: MinHash in fixed bands, then exact Jaccard of word shingles.
+"""Near-duplicate join: a MinHash LSH forest, then exact Jaccard of word shingles.
 
 Texts with equal sets of five-word shingles are one class of copies, and one
-representative of each goes on. Its signature is cut into TREES bands of
-``prefix_depth`` minimum hashes: the longest ones by which pairs at the threshold
-meet the target recall. Representatives of an equal band, a node, are candidates.
-This takes the place of an LSH forest, of which it is the one level that the
-target recall asks for: tries that shorten prefixes on the data would make the
-candidates of a pair depend on the corpus around it, and are not built.
-
-A node's members are dealt into blocks, and blocks are compared two at a time,
-so a node of any size is spread over tasks, every pair of it is compared and no
-pair becomes a row. A pair under common nodes of several trees counts in the
-first of them. Only members with such a pair get their shingle sets, and what
-leaves a comparison is at most one row a member: the weight of its exact matches and
-the least representative it is linked with there. Components come from
-alternating large-star and small-star steps over those links.
+representative of each goes on. In each of TREES trees its signature is a path of
+DEPTH symbols, minimum hashes. A tree's paths are kept as sorted tries: those that
+agree in their first symbols, a node, are put together and sorted by the rest, so
+that the common prefix of two paths gives the level at which they part. Matched
+prefixes are shortened from the whole path symbol by symbol, each level adding
+the pairs that part there, until the recall of pairs at the threshold, 1 - (1 -
+threshold^length)^TREES, reaches the target. At 0.8 and 0.9999 that is after four
+symbols; a pair above the threshold has still more. The stop does not depend on
+the corpus around a pair, so small and large inputs lose equally little. A pair
+under common nodes of several trees counts in the first of them.
+
+A node of at most BLOCK members (and BLOCK_BYTES of shingles) is compared where it
+stands. A larger one is dealt into blocks, each written once to the shared folder;
+the task of a block reads the others of its node there, so what is shuffled grows
+with the members and not with their pairs, a node of any size is spread over
+tasks, every pair of it is compared and no pair becomes a row. Only members with
+a pair get their shingle sets. What leaves a comparison is at most one row a
+member: the weight of its exact matches and the least representative it is
+linked with there. Components come from alternating large-star and small-star
+steps over those links; the least neighbours of a step are broadcast while they
+are few, else joined from a table, so that a hub's edges can be split.
 
 Cases: a text of one to four words has one shingle (all its words); texts with
-no word, null included, are copies of each other; rows with equal doc_id are one
-document; a row of null doc_id gets a negative id that depends on its shingles
-alone; an empty table gives no rows; other columns are ignored.
+no word, null included, are copies of each other; a class goes by its least
+doc_id, repeated ones included; a class without one gets a negative id that
+depends on its shingles alone; each row of a repeated doc_id is a document of its
+own; an empty table gives no rows; other columns are ignored by ``join`` and kept
+by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import bounded, materialize, mix64, random64, sliced, table, utf8, whole_groups
+from pactum.llm.common import BROADCAST_ROWS, bounded, fields, filesystem, materialize, mix64, own_columns, random64, shared_dir, sliced, table, utf8, whole_groups
 from pactum.llm.words import shingle_sets
 
 WORDS = 5
@@ -36,18 +45,28 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 8
 RECALL = 0.9999
-BLOCK = 256
+BLOCK = 512
+BLOCK_BYTES = 16 << 20
+#: Symbols of 16 bits that a path may have below its node.
+_BELOW = 4
+
+
+def levels(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
+    """Prefix lengths from the whole path to the one at which pairs at the threshold reach the target recall."""
+    out = [depth]
+    while out[-1] > 1 and 1 - (1 - threshold ** out[-1]) ** trees < recall:
+        out.append(out[-1] - 1)
+    return out
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix with which pairs at the threshold are found at the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+    """The prefix length at which shortening stops."""
+    return levels(threshold, trees, depth, recall)[-1]
 
 
-def signatures(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """A node for each set and tree: the hash of ``depth`` minimum hashes."""
+def signatures(sets: list[np.ndarray], trees: int, stop: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set and tree the node (a hash of ``stop`` minimum hashes) and the path below it, 16 bits a symbol."""
+    depth = min(depth, stop + _BELOW)
     n, k = len(sets), trees * depth
     a, b = random64(k, 31) | np.uint64(1), random64(k, 37)
     least = np.empty((n, k), np.uint64)
@@ -62,13 +81,14 @@ def signatures(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
             h += b[:, None]
             np.minimum(low, h.min(axis=1), out=low)
         least[i] = low
-    out = np.empty((n, trees), np.uint64)
-    for t in range(trees):
-        h = np.full(n, t + 1, np.uint64)
-        for d in range(depth):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + least[:, t * depth + d])
-        out[:, t] = h
-    return out
+    least = least.reshape(n, trees, depth)
+    nodes = np.tile(np.arange(1, trees + 1, dtype=np.uint64), (n, 1))
+    for d in range(stop):
+        nodes = mix64(nodes * np.uint64(0x9E3779B97F4A7C15) + least[:, :, d])
+    tails = np.zeros((n, trees), np.uint64)
+    for i, d in enumerate(range(stop, depth)):
+        tails |= (mix64(least[:, :, d]) >> np.uint64(48)) << np.uint64(48 - 16 * i)
+    return nodes, tails
 
 
 def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,68 +98,127 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return low.view(np.int64), high.view(np.int64)
 
 
-def _profiles(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, fingerprint of the shingle set, whether it is empty, nodes by tree."""
+def _profiles(docs: DataFrame, words: int, trees: int, stop: int, depth: int) -> DataFrame:
+    """doc_id, fingerprint and size of the shingle set, nodes and tails by tree."""
 
     def run(batches):
         import pyarrow as pa
 
+        def listed(x):
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * trees, pa.int32()), pa.array(x.view(np.int64).ravel()))
+
         for batch in sliced(batches, size=4 << 20):
             raw, offsets = utf8(batch.column("text"))
             sets = list(shingle_sets(raw, offsets, words))
-            nodes = signatures(sets, trees, depth)
+            nodes, tails = signatures(sets, trees, stop, depth)
             low, high = _fingerprints(sets)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "low": low, "high": high, "empty": pa.array([not len(s) for s in sets]),
-                "nodes": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * trees, pa.int32()), pa.array(nodes.view(np.int64).ravel())),
-            })
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "low": low, "high": high, "size": sizes, "nodes": listed(nodes), "tails": listed(tails)})
+
+    return docs.mapInArrow(run, "doc_id long, low long, high long, size long, nodes array<long>, tails array<long>")
+
+
+_MEMBER = "rep long, n_docs long, nodes array<long>, tree int, node long, tail long, block int, n_blocks int"
+NODE, DEALT = ["tree", "node"], ["tree", "node", "block"]
+
+
+class _Block:
+    """Members of one node, or of a block of it."""
+
+    def __init__(self, batch):
+        def column(name):
+            return batch.column(batch.schema.get_field_index(name))
 
-    return docs.mapInArrow(run, "doc_id long, low long, high long, empty boolean, nodes array<long>")
+        self.tree, self.batch = column("tree")[0].as_py(), batch
+        self.reps, self.weight, tail = (column(n).to_numpy(zero_copy_only=False) for n in ("rep", "n_docs", "tail"))
+        self.nodes = column("nodes").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        self.tails = tail.view(np.uint64)
+        self.sets = [np.frombuffer(x, np.uint64) for x in column("shingles").to_pylist()] if "shingles" in batch.schema.names else []
+        self.sizes = np.array([len(s) for s in self.sets])
 
 
-def _first_pairs(nodes: np.ndarray, tree: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs (left x right) share no node before this tree."""
-    new = np.ones((len(left), len(right)), bool)
-    for t in range(tree):
-        new &= nodes[left, t][:, None] != nodes[right, t][None, :]
-    return new
+def _parting(left: _Block, right: _Block, steps: list[int]) -> np.ndarray:
+    """The prefix length at which each pair (left x right) is met: where its paths part; 0 if an earlier tree has it."""
+    x = left.tails[:, None] ^ right.tails[None, :]
+    level = np.full(x.shape, steps[-1], np.int8)
+    for i in range(min(steps[0] - steps[-1], _BELOW)):
+        level += x < np.uint64(1 << (48 - 16 * i)) if i < 3 else x == 0
+    for t in range(left.tree):
+        level[left.nodes[:, t][:, None] == right.nodes[:, t][None, :]] = 0
+    if left is right:
+        np.fill_diagonal(level, 0)
+    return level
 
 
-def _columns(batch, *names):
-    return [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+def _groups(batches, keys):
+    for batch, bounds in whole_groups(batches, keys):
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield batch.slice(i, j - i)
 
 
-def _nodes(batch) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index("nodes"))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+def _needed(steps):
+    def run(batches):
+        """Members of a node that have a pair of their own there."""
+        import pyarrow as pa
 
+        for batch in _groups(batches, NODE):
+            own = _Block(batch)
+            keep = _parting(own, own, steps).any(axis=1)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
 
-GROUP = ["tree", "node", "a", "b"]
+    return run
 
 
-def _groups(batch, bounds):
-    """(rows of the first block, of the second, whether they are one block, tree) of each group."""
-    tree, block, first, second = _columns(batch, "tree", "block", "a", "b")
-    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        rows, one = np.arange(i, j), first[i] == second[i]
-        left, right = (rows, rows) if one else (rows[block[i:j] == first[i]], rows[block[i:j] == second[i]])
-        if len(left) and len(right):
-            yield left, right, bool(one), int(tree[i])
+def _stored(folder: str):
+    def run(batches):
+        """Each block of a large node as a file; a row names it."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for batch in _groups(batches, DEALT):
+            fs, path = filesystem(folder)
+            fs.create_dir(path, recursive=True)
+            first = batch.select([*DEALT, "n_blocks"]).slice(0, 1)
+            name = "/".join([path, "-".join(str(c[0]) for c in first.columns[:3])])
+            part = f"{name}.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(part) as out, pa.ipc.new_stream(out, batch.schema) as writer:
+                writer.write_batch(batch)
+            fs.move(part, name)
+            yield first
 
+    return run
 
-def _needed(batches):
-    """Members of a group that have a pair of their own there."""
+
+def _others(folder: str, row: dict, numbers):
+    """(number, block) of those blocks of a row's node that have members left."""
     import pyarrow as pa
 
-    for batch, bounds in whole_groups(batches, GROUP):
-        nodes, keep = _nodes(batch), np.zeros(batch.num_rows, bool)
-        for left, right, one, tree in _groups(batch, bounds):
-            new = _first_pairs(nodes, tree, left, right)
-            if one:
-                np.fill_diagonal(new, False)
-            keep[left] |= new.any(axis=1)
-            keep[right] |= new.any(axis=0)
-        yield batch.filter(pa.array(keep))
+    fs, path = filesystem(folder)
+    for b in numbers:
+        try:
+            with fs.open_input_file(f"{path}/{row['tree']}-{row['node']}-{b}") as source, pa.ipc.open_stream(source) as reader:
+                yield b, _Block(reader.read_next_batch())
+        except FileNotFoundError:
+            continue
+
+
+def _needed_across(folder: str, steps):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, own = next(_others(folder, row, [row["block"]]))
+                keep = _parting(own, own, steps).any(axis=1)
+                for _, other in _others(folder, row, (b for b in range(row["n_blocks"]) if b != row["block"])):
+                    if keep.all():
+                        break
+                    keep |= _parting(own, other, steps).any(axis=1)
+                if keep.any():
+                    yield own.batch.filter(pa.array(keep))
+
+    return run
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -165,60 +244,95 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return total.astype(np.int64)
 
 
-def _verify(threshold: float):
-    def run(batches):
-        """Weight of exact matches and least linked member, for each member of a group that has some."""
+class _Links:
+    """Weight of exact matches and least linked member of two blocks (or one), level by level."""
+
+    def __init__(self, left: _Block, right: _Block, steps: list[int], threshold: float):
+        self.one = left is right
+        self.reps = left.reps if self.one else np.concatenate([left.reps, right.reps])
+        weight = left.weight if self.one else np.concatenate([left.weight, right.weight])
+        sets = left.sets if self.one else left.sets + right.sets
+        sizes = left.sizes if self.one else np.concatenate([left.sizes, right.sizes])
+        a = np.arange(len(left.reps))
+        b = a if self.one else len(a) + np.arange(len(right.reps))
+        parting = _parting(left, right, steps)
+        linked = np.zeros(parting.shape, bool)
+        for level in steps:
+            at = parting == level
+            x, y = np.flatnonzero(at.any(axis=1)), np.flatnonzero(at.any(axis=0))
+            if len(x):
+                both = _overlaps(sets, a[x], b[y])
+                linked[np.ix_(x, y)] |= at[np.ix_(x, y)] & (both / (sizes[a[x]][:, None] + sizes[b[y]][None, :] - both) >= threshold)
+        self.links, self.label = np.zeros(len(self.reps), np.int64), self.reps.copy()
+        if not linked.any():
+            return
+        self.links[a] += linked @ weight[b]
+        if not self.one:
+            self.links[b] += linked.T @ weight[a]
+        far = np.iinfo(np.int64).max
+        while True:  # the components of these two blocks
+            before = self.label.copy()
+            self.label[a] = np.minimum(self.label[a], np.where(linked, self.label[b][None, :], far).min(axis=1))
+            self.label[b] = np.minimum(self.label[b], np.where(linked, self.label[a][:, None], far).min(axis=0))
+            if (before == self.label).all():
+                return
+
+    def rows(self):
         import pyarrow as pa
 
-        for batch, bounds in whole_groups(batches, GROUP):
-            nodes = _nodes(batch)
-            reps, weight = _columns(batch, "rep", "n_docs")
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(batch.schema.get_field_index("shingles")).to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            links, label = np.zeros(len(reps), np.int64), reps.copy()
-            for left, right, one, tree in _groups(batch, bounds):
-                linked = _first_pairs(nodes, tree, left, right)
-                if one:
-                    np.fill_diagonal(linked, False)
-                if not linked.any():
-                    continue
-                both = _overlaps(sets, left, right)
-                linked &= both / (sizes[left][:, None] + sizes[right][None, :] - both) >= threshold
-                links[left] += linked @ weight[right]
-                if not one:
-                    links[right] += linked.T @ weight[left]
-                rows, far = np.union1d(left, right), np.iinfo(np.int64).max
-                while True:  # the components of these two blocks
-                    before = label[rows].copy()
-                    label[left] = np.minimum(label[left], np.where(linked, label[right][None, :], far).min(axis=1))
-                    label[right] = np.minimum(label[right], np.where(linked, label[left][:, None], far).min(axis=0))
-                    if (before == label[rows]).all():
-                        break
-            some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_pydict({"rep": reps[some], "links": links[some], "least": label[some]})
+        some = np.flatnonzero(self.links)
+        return pa.RecordBatch.from_pydict({"rep": self.reps[some], "links": self.links[some], "least": self.label[some]})
+
+
+def _verify(steps, threshold: float):
+    def run(batches):
+        for batch in _groups(batches, NODE):
+            own = _Block(batch)
+            yield _Links(own, own, steps, threshold).rows()
+
+    return run
+
+
+def _verify_across(folder: str, steps, threshold: float):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, own = next(_others(folder, row, [row["block"]]))
+                yield _Links(own, own, steps, threshold).rows()
+                for _, other in _others(folder, row, range(row["block"] + 1, row["n_blocks"])):
+                    yield _Links(own, other, steps, threshold).rows()
 
     return run
 
 
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
+def _written(members: DataFrame, folder: str) -> DataFrame:
+    """A row for each block of large nodes, spread over tasks, as each is much work."""
+    placed = members.repartition(*DEALT).sortWithinPartitions(*DEALT, "tail")
+    rows = materialize(placed.mapInArrow(_stored(folder), "tree int, node long, block int, n_blocks int"), "blocks")
+    return rows.repartition(max(1, min(rows.count(), 4 * members.sparkSession.sparkContext.defaultParallelism)), *DEALT)
+
+
+def components(edges: DataFrame, name: str = "stars", most: int = BROADCAST_ROWS) -> DataFrame:
     """(node, least) of every node that has an edge (a, b): the least node it is connected with.
 
     Large-star and small-star steps in turn; each round is written to the
     shared folder, and the work ends when a round leaves the edges unchanged.
     """
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    signature = None
+    signature, count = None, edges.count()
+    # An aggregate joined with what it was made from would put all edges of a hub into one task: it is broadcast, or a table.
+    apart = lambda df: F.broadcast(df) if 2 * count <= most else materialize(df, name)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = apart(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = apart(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = materialize(small, name)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if tuple(row) == signature or row[0] == row[2] and _flat(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
-        signature = tuple(row)
+        signature, count = tuple(row), row[0]
 
 
 def _flat(edges: DataFrame) -> bool:
@@ -227,10 +341,13 @@ def _flat(edges: DataFrame) -> bool:
 
 
 def _classes(docs: DataFrame, threshold: float, words: int, trees: int, depth: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(a row for each row of docs with doc_id, id, class_id, n_links; doc_ids that are null or repeated)."""
-    level = prefix_depth(threshold, trees, depth, recall)
+    """(a row for each row of docs with doc_id, id, node, class_id, n_links; doc_ids that are null or repeated).
+
+    node: the least id of a class, whatever its rows' doc_ids.
+    """
+    steps = levels(threshold, trees, depth, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(_profiles(docs, words, trees, level), "profiles")
+    made = materialize(_profiles(docs, words, trees, steps[-1], steps[0]), "profiles")
     # A doc_id that is null or repeated can't name a node; its rows go by a negative hash of their shingles.
     unclear = materialize(made.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").select("doc_id"), "unclear")
     some_unclear = not unclear.isEmpty()
@@ -238,20 +355,26 @@ def _classes(docs: DataFrame, threshold: float, words: int, trees: int, depth: i
     if some_unclear:
         of = made["doc_id"].eqNullSafe(unclear["doc_id"])
         profiles = profiles.join(bounded(unclear), of, "left_anti").unionByName(made.join(bounded(unclear), of, "left_semi").withColumn("id", -1 - F.shiftrightunsigned("low", 2)))
-    reps = materialize(profiles.groupBy("low", "high", "nodes", "empty").agg(F.min("id").alias("rep"), F.count("*").alias("n_docs")), "representatives")
+    reps = profiles.groupBy("low", "high", "nodes", "tails", "size").agg(F.min("id").alias("rep"), F.min("doc_id").alias("named"), F.count("*").alias("n_docs"))
+    reps = materialize(reps, "representatives")
     # Only members of nodes that have several get their other nodes back.
-    members = reps.filter("not empty").select("rep", F.posexplode("nodes").alias("tree", "node"))
-    crowded = members.groupBy("tree", "node").agg(F.count("*").alias("m")).filter("m > 1").withColumn("n_blocks", F.ceil(F.col("m") / block).cast("int"))
-    together = materialize(members.join(crowded, ["tree", "node"]).select("rep", "tree", "node", "n_blocks"), "members")
-    dealt = (
-        together.join(reps.select("rep", "n_docs", "nodes"), "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("rep", "n_docs", "nodes", "tree", "node", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    )
-    by_group = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    needed = materialize(by_group.mapInArrow(_needed, by_group.schema), "candidates")
-    chosen = materialize(needed.select("rep").distinct(), "chosen")
+    paths = F.posexplode(F.arrays_zip("nodes", "tails")).alias("tree", "path")
+    members = reps.filter("size > 0").select("rep", "size", paths).select("rep", "size", "tree", F.col("path.nodes").alias("node"), F.col("path.tails").alias("tail"))
+    crowded = members.groupBy("tree", "node").agg(F.count("*").alias("m"), F.sum("size").alias("s")).filter("m > 1")
+    crowded = crowded.select("tree", "node", F.ceil(F.greatest(F.col("m") / block, F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    together = materialize(members.join(crowded, ["tree", "node"]).select("rep", "tree", "node", "tail", "n_blocks"), "members")
+    dealt = together.join(reps.select("rep", "n_docs", "nodes"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.select("rep", "n_docs", "nodes", "tree", "node", "tail", "block", "n_blocks")
+    by_node = dealt.filter("n_blocks = 1").repartition(*NODE).sortWithinPartitions(*NODE, "tail")
+    needed = materialize(by_node.mapInArrow(_needed(steps), _MEMBER), "candidates")
+    large = not together.filter("n_blocks > 1").isEmpty()
+    every = needed
+    if large:
+        folder = shared_dir(docs.sparkSession, "forest")
+        across = _written(dealt.filter("n_blocks > 1"), f"{folder}/paths").mapInArrow(_needed_across(f"{folder}/paths", steps), _MEMBER)
+        across = materialize(across, "candidates")
+        every = needed.unionByName(across)
+    chosen = materialize(every.select("rep").distinct(), "chosen")
     texts = docs.withColumnRenamed("doc_id", "rep").join(bounded(chosen), "rep", "left_semi")
     if some_unclear:
         others = docs.join(bounded(unclear), docs["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi").withColumn("rep", F.lit(None).cast("long")).select("rep", "text")
@@ -259,14 +382,26 @@ def _classes(docs: DataFrame, threshold: float, words: int, trees: int, depth: i
     shingles = _sets(texts, words)
     if some_unclear:  # else every chosen representative has one row
         shingles = shingles.groupBy("rep").agg(F.min("shingles").alias("shingles"))
-    with_sets = needed.join(shingles, "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    links = materialize(with_sets.mapInArrow(_verify(threshold), "rep long, links long, least long"), "links")
+    if large:
+        shingles = materialize(shingles, "shingles")
+    found = "rep long, links long, least long"
+    links = needed.join(shingles, "rep").repartition(*NODE).sortWithinPartitions(*NODE, "tail").mapInArrow(_verify(steps, threshold), found)
+    if large:
+        blocks = _written(across.join(shingles, "rep"), f"{folder}/sets")
+        links = links.unionByName(blocks.mapInArrow(_verify_across(f"{folder}/sets", steps, threshold), found))
+    links = materialize(links, "links")
     linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(links.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    classes = reps.join(linked, "rep", "left").join(label, reps["rep"] == label["node"], "left").select(
-        "low", "high", F.coalesce("least", "rep").alias("class_id"), (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    return profiles.select("doc_id", "id", "low", "high").join(classes, ["low", "high"]).select("doc_id", "id", "class_id", "n_links"), unclear
+    n_links = (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    classes = reps.join(linked, "rep", "left").join(label, reps["rep"] == label["node"], "left").select("low", "high", F.coalesce("least", "rep").alias("node"), n_links, "named")
+    if some_unclear:
+        # A class that holds such rows goes by its least doc_id all the same.
+        names = materialize(classes.groupBy("node").agg(F.min("named").alias("least")).filter("least is not null and least <> node"), "names")
+        classes = classes.join(bounded(names), "node", "left").withColumn("class_id", F.coalesce("least", "node"))
+    else:
+        classes = classes.withColumn("class_id", F.col("node"))
+    classes = classes.select("low", "high", "node", "class_id", "n_links")
+    return profiles.select("doc_id", "id", "low", "high").join(classes, ["low", "high"]).select("doc_id", "id", "node", "class_id", "n_links"), unclear
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -301,18 +436,16 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
 
     Where that id is null or repeated, the first by text and hash of the whole row.
     """
-    from pyspark.sql import Window as W
-
     found, unclear = _classes(docs, threshold, words, trees, depth, recall, block)
     found = materialize(found, "classes")
-    lost = materialize(found.filter("id = doc_id and id <> class_id").select("doc_id"), "lost")
-    names = docs.columns
-    clear = docs.join(bounded(lost), "doc_id", "left_anti").select(*names)
+    lost = materialize(found.filter("id = doc_id and class_id <> doc_id").select(F.col("doc_id").alias("_lost")), "lost")
+    numbered = docs["doc_id"].cast("long")
+    clear = docs.join(bounded(lost), numbered == lost["_lost"], "left_anti")
     if unclear.isEmpty():
         return clear
-    of = docs["doc_id"].eqNullSafe(unclear["doc_id"])
-    some = docs.join(bounded(unclear), of, "left_semi")
-    clear = clear.join(bounded(unclear), clear["doc_id"].eqNullSafe(unclear["doc_id"]), "left_anti")
+    clear = clear.join(bounded(unclear), numbered.eqNullSafe(unclear["doc_id"]), "left_anti").select(*own_columns(docs))
+    row = F.struct(*own_columns(docs)).alias("row")
+    some = docs.join(bounded(unclear), numbered.eqNullSafe(unclear["doc_id"]), "left_semi").select(numbered.alias("doc_id"), docs["text"].cast("string").alias("text"), row)
 
     def number(batches):
         import pyarrow as pa
@@ -320,13 +453,15 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
         for batch in sliced(batches):
             raw, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
             low = _fingerprints(list(shingle_sets(raw, offsets, words)))[0].view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(-1 - (low >> np.uint64(2)).astype(np.int64))], names=[*batch.schema.names, "_class"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    heads = found.filter("id = class_id").select(F.col("class_id").alias("_class")).distinct()
-    rows = some.mapInArrow(number, f"{fields}, _class long").join(heads, "_class", "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_class").orderBy(F.xxhash64("text"), "text", F.xxhash64(*[F.col(f"`{c}`") for c in names])))).filter("_n = 1")
-    return clear.unionByName(rows.select(*names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(-1 - (low >> np.uint64(2)).astype(np.int64))], names=[*batch.schema.names, "id"])
+
+    heads = found.filter("id <> doc_id or doc_id is null").filter("doc_id = class_id or doc_id is null and class_id = node").select("doc_id", "id", "node").distinct()
+    heads = materialize(heads, "heads").withColumnsRenamed({"doc_id": "_d", "id": "_i"})
+    rows = some.mapInArrow(number, f"{fields(some)}, id long")
+    rows = rows.join(bounded(heads), (rows["id"] == heads["_i"]) & rows["doc_id"].eqNullSafe(heads["_d"]))
+    # An aggregate keeps one row a group before the shuffle, however many share a text.
+    first = F.min_by("row", F.struct(F.xxhash64("text"), "text", F.xxhash64("row"))).alias("row")
+    return clear.unionByName(rows.groupBy("node").agg(first).select("row.*"))
 
 
 def op3_minhash_join(spark, sf_dir: str) -> DataFrame:

@@ -84,11 +84,50 @@ def test_join_of_odd_rows(documents, odd):
     assert minhash_forest.join(documents([])).count() == 0
 
 
+def test_classes_of_repeated_and_null_ids_go_by_their_least_id(documents):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(50, a), (50, a + " z"), (7, b), (9, a), (None, a), (None, b), (None, "alone on its own here"), (3, a + " y"), (3, "no relation to any other row")]
+    got = sorted((r.doc_id or 0, r.class_id if r.class_id > 0 else 0, r.n_links) for r in minhash_forest.join(documents(rows)).collect())
+    assert got == [(0, 0, 0), (0, 3, 4), (0, 7, 1), (3, 3, 0), (3, 3, 4), (7, 7, 1), (9, 3, 4), (50, 3, 4), (50, 3, 4)]
+    left = sorted((r.doc_id or 0, r.text) for r in minhash_forest.one_of_each(documents(rows, "id node row")).collect())
+    assert left == [(0, "alone on its own here"), (3, a + " y"), (3, "no relation to any other row"), (7, b)]
+
+
+def test_blocks_by_files_equal_those_in_place(documents, monkeypatch):
+    pairs = corpus(120, 11)
+    monkeypatch.setattr(minhash_forest, "BLOCK_BYTES", 2000)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in minhash_forest.join(documents(pairs)).collect())
+    assert got == brute_join(pairs)
+
+
+def test_prefixes_are_shortened_until_the_recall(documents):
+    assert minhash_forest.levels() == [8, 7, 6, 5, 4]
+    base = [f"w{i}" for i in range(200)]
+    import pyarrow as pa
+
+    from pactum.llm.common import utf8
+
+    texts = [" ".join(base), " ".join(["x", *base[1:]]), " ".join([*base[:30], "y", *base[30:60], "q", *base[60:]])]
+    sets = list(minhash_forest.shingle_sets(*utf8(pa.array(texts)), 5))
+    nodes, tails = minhash_forest.signatures(sets, 20, 4, 8)
+    for t in range(20):
+        batch = pa.RecordBatch.from_pydict({"tree": pa.array([t] * 3, pa.int32()), "rep": [0, 1, 2], "n_docs": [1, 1, 1], "tail": tails[:, t].view("i8"), "nodes": pa.array(nodes.view("i8").tolist())})
+        block = minhash_forest._Block(batch)
+        met = minhash_forest._parting(block, block, minhash_forest.levels())
+        for i in range(3):
+            for j in range(3):
+                if i == j or (nodes[i, :t] == nodes[j, :t]).any():
+                    assert met[i, j] == 0
+                    continue
+                below = next((d for d in range(4) if (int(tails[i, t]) ^ int(tails[j, t])) >> (48 - 16 * d) & 0xFFFF), 4)
+                assert met[i, j] == 4 + below
+
+
 def test_one_of_each_stays(documents, odd):
     pairs = corpus(80, 7)
-    df = documents(pairs)
+    df = documents(pairs, "_n _class id")
     kept = minhash_forest.one_of_each(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {(r["_n"], r["_class"], r["id"]) for r in kept.collect()} == {("own",) * 3}
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_join(pairs)})
     left = [(r.doc_id, r.text) for r in minhash_forest.one_of_each(documents(odd)).collect()]
     assert sorted(words(t)[:2] for _, t in left) == sorted([[], ["one"], ["null", "id"], ["same", "same"], ["é" * 3000]])
@@ -149,6 +188,13 @@ def test_winnowing_equals_brute_force(spark, case_dir, odd):
     assert leaks(spark, case_dir, docs, items) == brute_leaks(docs, items)
 
 
+def test_long_words_that_differ_in_distant_bytes(spark, case_dir):
+    a, b = ["q"] * 9000, ["q"] * 9000
+    a[100], b[100 + 4096] = "z", "z"
+    items, docs = [(1, "".join(a))], [(1, "".join(b)), (2, "".join(a)), (3, "\u6f22" * 1_500_000)]
+    assert leaks(spark, case_dir, docs, items) == brute_leaks(docs, items)
+
+
 def test_winnowing_of_empty_tables(spark, case_dir):
     assert leaks(spark, case_dir, [], [(1, "a b")]) == []
     assert leaks(spark, case_dir, [(1, "a b c")], []) == brute_leaks([(1, "a b c")], [])
@@ -163,6 +209,12 @@ def test_blocks_of_items_change_nothing(spark, documents):
     with mock.patch.object(decontamination.index, "__defaults__", (10, 5, 200)):
         found = decontamination.contaminated(docs, items).filter("n_hit > 0")
         assert sorted(r.doc_id for r in found.collect()) == list(range(40))
+    from pyspark.sql import functions as F
+
+    named = docs.withColumns({"n_hit": F.lit("own"), "ITEMS": F.lit("own"), "_n_hit": F.lit("own")})
+    assert {tuple(r)[-3:] for r in decontamination.clean(named, items).collect()} == {("own",) * 3}
+    marked = decontamination.contaminated(named, items)
+    assert {(r["__n_hit"], r["_n_hit"], r["_ITEMS"]) for r in marked.collect()} == {("own",) * 3} and sorted(r.n_hit for r in marked.collect())[0] == 0
     kept = decontamination.clean(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(40, 60))
 
