@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pactum.llm import chat_tree, media
 
 TURN = "conv_id long, turn long, role string, text string"
+SPECIAL = ["<|endoftext|>"]
+MARKS = chat_tree.marked(SPECIAL)
 PARTS = ["\\", "<s>", "</s>", "[INST]", "[/INST]", "a", "\n", "<", "[", "/", "s>", "n", "é", " "]
 
 
@@ -21,6 +23,8 @@ def test_escapes_are_reversible_and_leave_no_control_string():
         text, role = ("".join(rng.choice(PARTS) for _ in range(rng.randint(0, 8))) for _ in range(2))
         e = chat_tree.escaped(text)
         assert chat_tree.plain(e) == text and not [c for c in ("<s>", "</s>", "[INST]", "[/INST]") if c in e]
+        e = chat_tree.escaped(text.replace("é", SPECIAL[0]), MARKS)
+        assert chat_tree.plain(e) == text.replace("é", SPECIAL[0]) and SPECIAL[0] not in e
         for r in (role, "user", "assistant", ""):
             assert chat_tree.parsed("".join(chat_tree.parts(r, text))) == (r, text)
 
@@ -33,7 +37,7 @@ def expected(rows):
     for c, turns in out.items():
         said = "".join(t for r, t in turns if r == "assistant")
         whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-        formatted = sum(len("".join(chat_tree.parts(r, t))) for r, t in turns)
+        formatted = sum(len("".join(chat_tree.parts(r, t, MARKS))) for r, t in turns)
         found.append((c is None, c or 0, len(turns), whole, len(said), hashlib.sha256(said.encode()).hexdigest(), formatted))
     return sorted(found)
 
@@ -60,6 +64,7 @@ def test_trees_round_trip_and_share(spark):
     own = segments.filter("size(ids) > 0")
     assert own.count() < len(rows)  # shared turns once
     for r in own.collect():
+        assert 50256 not in r.ids  # no text makes a special id
         assert all(x.stop <= y.start for x, y in zip(r.runs, r.runs[1:], strict=False)) and sum(x.stop - x.start for x in r.runs) == r.position and all(x.stop <= r.start for x in r.runs)
 
 
@@ -80,12 +85,20 @@ def test_turns_beyond_the_keyed_ones_are_emitted_once(spark):
     assert own == len({(r.shard, tuple(turns[r.conv_id][:n])) for r in ends for n in range(1, len(turns[r.conv_id]) + 1)})
 
 
+def test_very_long_shared_fronts(spark):
+    """1,500 shared turns, then two branches, then one branch again."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{t}" if t < 1500 else f"{t} {c % 2}" if t < 1510 else f"{t} {c}") for c in range(6) for t in range(1520)]
+    segments = chat_tree.forest(spark.createDataFrame(rows, TURN))
+    assert got(chat_tree.read(segments)) == expected(rows)
+    shards = segments.filter("size(ids) = 0").groupBy("shard").agg(F.collect_list("conv_id").alias("c")).collect()
+    assert segments.filter("size(ids) > 0").count() == sum(1500 + 10 * len({c % 2 for c in r.c}) + 10 * len(r.c) for r in shards)
+
+
 @pytest.mark.parametrize("shared", [1, 3])
 def test_trees_beyond_the_shared_turns(monkeypatch, shared):
-    """The same generators that tasks run, here in one process, with a low limit of shared turns."""
+    """The same generators that tasks run, here in one process, where no turn beyond a low one is said to be shared."""
     from pactum.llm import bpe
 
-    monkeypatch.setattr(chat_tree, "SHARED", shared)
     monkeypatch.setattr(chat_tree, "KEYED", 2)
     monkeypatch.setattr(chat_tree, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
     import pyarrow as pa
@@ -94,6 +107,7 @@ def test_trees_beyond_the_shared_turns(monkeypatch, shared):
     rows.sort()
     turns = pa.RecordBatch.from_pydict({"conv_id": [r[0] for r in rows], "role": [r[2] for r in rows], "text": [r[3] for r in rows]})
     chained = pa.Table.from_batches(list(chat_tree._chained([turns]))).sort_by([("key", "ascending"), ("conv_id", "ascending"), ("idx", "ascending")])
+    chained = chained.append_column("shared_to", pa.array([shared] * len(chained), pa.int64()))
     batches = chained.combine_chunks().to_batches(max_chunksize=23)
     segments = list(chat_tree._emit(bpe.vocabulary_path())(batches))
     run = {}
