@@ -45,7 +45,7 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 8
 RECALL = 0.9999
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 16 << 20
 #: Symbols of 16 bits that a path may have below its node.
 _BELOW = 4
