@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The clause header and the mark of a cut below are fixed values: stored records depend on them.
 #: A section sign or one of three words, a dotted number, a title of 2 to 200 characters.
 HEADER = r"(?iU)^\s*(?:§|Section|Article|Clause)?\s*(\d+(?:\.\d+)*)\.?\s+(.{2,200})$"
 #: Where a text breaks into lines, as a Python str does.
@@ -83,6 +84,32 @@ def truncated(text: Column, tokens: int) -> Column:
     return F.when(F.length(text) <= budget, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(TRUNCATED), end))
 
 
+def truncated_by(rows: DataFrame, column: str, tokens: int, encode, decode) -> DataFrame:
+    """rows with long texts of a column cut by a tokenizer: 60 % of the budget from the head, what is left but 16 from the tail.
+
+    encode: from a text to a list of tokens, decode: back. Texts reach it a batch at a time.
+    """
+    head = int(tokens * 0.6)
+    tail = max(tokens - head - 16, 0)
+
+    def cut(text):
+        if text is None:
+            return None
+        found = encode(text)
+        return text if len(found) <= tokens else decode(found[:head]) + TRUNCATED + (decode(found[-tail:]) if tail else "")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield part.set_column(at, part.schema.field(at), pa.array([cut(x) for x in part.column(at).to_pylist()], part.schema.field(at).type))
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two titles' normalised words; 0 if either has none."""
     x, y = (F.filter(F.split(normalize(t), " "), lambda w: w != "") for t in (a, b))
@@ -99,6 +126,35 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: Words that an English index leaves out. Fixed values.
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+#: Endings of plural and verb forms: (pattern with the stem as its first group, what takes the ending's place). The first that fits is applied.
+ENDINGS = [
+    (r"^(.+[^aeiou])ies$", "y"), (r"^(.+(?:ss|sh|ch|x|z))es$", ""), (r"^(.+[^su])s$", ""),
+    (r"^(.*[aeiouy].*[^aeiou])ied$", "y"), (r"^(.*[aeiouy].*(?:at|bl|iz))(?:ed|ing)$", "e"), (r"^(.*[aeiouy].*(?:ll|ss|zz))(?:ed|ing)$", ""),
+    *((rf"^(.*[aeiouy].*{c}){c}(?:ed|ing)$", "") for c in "bdgmnprt"), (r"^(.*[aeiouy].+)(?:ed|ing)$", ""),
+]
+
+
+def stemmed(term: Column) -> Column:
+    """An English term without a plural or verb ending."""
+    out = term
+    for pattern, put in reversed(ENDINGS):
+        out = F.when(F.regexp_like(term, F.lit(pattern)), F.regexp_replace(term, pattern, f"$1{put}")).otherwise(out)
+    return out
+
+
+def analyzed(text: Column) -> Column:
+    """English terms: possessives cut, stop words left out, endings of plurals and verbs taken off."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"['\u2019]s\b", "")
+    return F.transform(F.filter(terms(plain), lambda w: ~w.isin(STOP_WORDS)), stemmed)
+
+
+def processed_key(tenant_id: Column, doc_id: Column, file: str) -> Column:
+    """Where an artefact of a document lies."""
+    return F.concat_ws("/", tenant_id, doc_id.cast("string"), F.lit(file))
+
+
 def ids_from_key(key: Column, doc_id: Column, tenant_id: Column) -> Column:
     """(tenant_id, doc_id) of an upload key ``tenants/<t>/uploads/<d>/...``, else the given ones, key and "default"."""
     part = F.split(key, "/")

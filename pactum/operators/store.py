@@ -106,7 +106,50 @@ def changes_between(changes: DataFrame, low: Column | None = None, high: Column
     return rows if high is None else rows.filter(high.isNull() | (v <= high))
 
 
-def create(spark, name: str, schema: str, partition_by: str | None = None) -> None:
+def replace_by_document(index: DataFrame, new: DataFrame) -> DataFrame:
+    """A clause index in which the documents of new have just new's clauses: stale ones go, of equal ids the last by pos stays."""
+    fresh = latest(new, ["clause_id"], "pos")
+    return index.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
+
+
+def bulk(rows: DataFrame, dimensions: int) -> DataFrame:
+    """rows (clause_id, vector) with the reason why one can't be indexed, null for those that can."""
+    reason = F.when(F.col("clause_id").isNull(), "no id").when(F.col("vector").isNull(), "no vector").when(F.size("vector") != dimensions, F.concat(F.lit("vector of "), F.size("vector").cast("string")))
+    return rows.withColumn("error", reason)
+
+
+def bulk_counts(rows: DataFrame) -> DataFrame:
+    """(ok, errors) of rows that ``bulk`` marked."""
+    return rows.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+def deleted_counts(tables: dict[str, tuple[DataFrame, list[str]]], gone: DataFrame) -> DataFrame:
+    """entity, n: how many rows of each table go with the deleted documents."""
+    out = None
+    for name, (df, columns) in tables.items():
+        left = delete_cascade({name: (df, columns)}, gone)[name]
+        n = df.agg(F.count("*").alias("a")).crossJoin(left.agg(F.count("*").alias("b")))  # one row each
+        row = n.select(F.lit(name).alias("entity"), (F.col("a") - F.col("b")).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """Calls, prompt and answer tokens by model, a token for each four characters begun."""
+    tokens = lambda c: F.sum(F.ceil(F.length(F.coalesce(c, F.lit(""))) / 4)).alias(f"{c}_tokens")
+    return calls.groupBy("model").agg(F.count("*").alias("calls"), tokens("prompt"), tokens("answer"))
+
+
+def observed(calls: DataFrame, name: str = "usage"):
+    """(calls as they are, an observation that holds their number and characters once an action has run)."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return calls.observe(seen, F.count(F.lit(1)).alias("calls"), F.sum(F.length("prompt")).alias("prompt_chars"), F.sum(F.length("answer")).alias("answer_chars")), seen
+
+
+def create(spark, name: str, schema: str, partition_by: str | None = None, location: str | None = None) -> None:
     """A Parquet table of a declared schema, unless it exists."""
     tail = f" PARTITIONED BY ({partition_by})" if partition_by else ""
+    tail += f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{tail}")
