@@ -1,82 +1,144 @@
 """Clause search: exact k-NN, BM25, their fusion, retrieval for answers.
 
-Queries and clauses meet on the tenant (and on terms), never in a cross join, so
-a query's work is bounded by its tenant's part of the index. Scores are rounded
-before ranks are taken, and ties go to the lesser clause id.
+Queries and clauses meet on the tenant (and on terms), never in a cross join.
+Where the queries are few by count, they are broadcast and no clause is shuffled;
+else the clause side of a tenant is dealt over salts and the queries are repeated
+for each, so a large tenant is spread over tasks. Conditions are tested on a pair
+before it is scored, a pair carries what they and the result need, and only the k
+best of each partition are shuffled for the ranks. Scores are rounded before
+ranks are taken, and ties go to the lesser clause id.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pactum.functions.text import cosine, terms
+from pactum.functions.text import analyzed, cosine, terms
+from pactum.sources.shared import materialize
 
 K1, B = 1.2, 0.75
 DIGITS = 6
 ALPHA = 0.6
+#: Queries, or query terms, of at most so many rows may be broadcast.
+FEW = 20_000
+SALTS = 16
+_CARRIED = ("doc_type", "structural_hash")
+_CONDITIONS = ("exclude_doc_id", "doc_types", "doc_id", "hash_prefix")
+
+
+def _carried(clauses: DataFrame) -> list[str]:
+    return ["clause_id", "tenant_id", "doc_id", *(c for c in _CARRIED if c in clauses.columns)]
+
+
+def _asked(queries: DataFrame, *columns) -> DataFrame:
+    """query_id, tenant_id and conditions under names of their own, written once, as they are counted and read again."""
+    conditions = [F.col(c).alias(f"_{c}") for c in _CONDITIONS if c in queries.columns]
+    return materialize(queries.select("query_id", "tenant_id", *conditions, *columns), "queries")
+
+
+def _allowed(pairs: DataFrame) -> DataFrame:
+    """Pairs of a query and a clause that meet the query's own conditions."""
+    tests = {
+        "_exclude_doc_id": lambda: F.col("_exclude_doc_id").isNull() | (F.col("doc_id") != F.col("_exclude_doc_id")),
+        "_doc_types": lambda: F.col("_doc_types").isNull() | F.coalesce(F.array_contains("_doc_types", F.col("doc_type")), F.lit(False)),
+        "_doc_id": lambda: F.col("_doc_id").isNull() | (F.col("doc_id") == F.col("_doc_id")),
+        "_hash_prefix": lambda: F.col("_hash_prefix").isNull() | F.startswith(F.col("structural_hash"), F.col("_hash_prefix")),
+    }
+    for c, test in tests.items():
+        if c in pairs.columns:
+            pairs = pairs.filter(test())
+    return pairs
 
 
-def postings(clauses: DataFrame) -> DataFrame:
-    """(field, term, clause_id, tenant_id, tf, field_length) of title and text; write it sorted by term to reuse it."""
-    fields = F.explode(F.array(F.struct(F.lit("title").alias("field"), terms(F.col("title")).alias("t")), F.struct(F.lit("text").alias("field"), terms(F.col("text")).alias("t")))).alias("f")
-    rows = clauses.select("clause_id", "tenant_id", fields).select("clause_id", "tenant_id", "f.field", F.size("f.t").alias("field_length"), F.explode("f.t").alias("term"))
-    return rows.groupBy("field", "term", "clause_id", "tenant_id", "field_length").agg(F.count("*").alias("tf"))
+def _meet(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with what is asked: broadcast if that is little, else over salts."""
+    if asked.count() <= FEW:
+        return rows.join(F.broadcast(asked), keys)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("clause_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"]).drop("_salt")
 
 
-def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Over the whole index, whatever the tenant: df by (field, term); clause count and mean length by field."""
-    df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
-    lengths = index.groupBy("field", "clause_id").agg(F.first("field_length").alias("n"))
-    return df, lengths.groupBy("field").agg(F.count("*").alias("n_clauses"), F.avg("n").alias("mean_length"))
+def postings(clauses: DataFrame, asked: DataFrame | None = None, analyzer=terms) -> DataFrame:
+    """(field, term, clause_id, tenant_id, doc_id, conditions' columns, field_length, tf) of title and text.
+
+    asked: a table of the terms (term) that queries have; others are left out before
+    anything is shuffled. Lengths are those of whole fields all the same.
+    """
+    made = F.array(*(F.struct(F.lit(f).alias("field"), analyzer(F.col(f)).alias("t")) for f in ("title", "text")))
+    rows = clauses.select(*_carried(clauses), F.explode(made).alias("f"))
+    rows = rows.select(*_carried(clauses), "f.field", F.size("f.t").alias("field_length"), F.explode("f.t").alias("term"))
+    if asked is not None:
+        rows = rows.join(F.broadcast(asked) if asked.count() <= FEW else asked, "term", "left_semi")
+    return rows.groupBy("field", "term", *_carried(clauses), "field_length").agg(F.count("*").alias("tf"))
+
 
+def fields(clauses: DataFrame, analyzer=terms) -> DataFrame:
+    """Of the clauses that have a field: field, n_clauses, mean_length. Two rows, from one pass without a shuffle of clauses."""
+    n = {f: F.size(analyzer(F.col(f))) for f in ("title", "text")}
+    sizes = clauses.select(*(n[f].alias(f) for f in n))
+    found = sizes.agg(*(x for f in n for x in (F.count_if(F.col(f) > 0).alias(f"{f}_n"), F.avg(F.when(F.col(f) > 0, F.col(f))).alias(f"{f}_mean"))))
+    return found.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_n").alias("n_clauses"), F.col(f"{f}_mean").alias("mean_length")) for f in n))).alias("f")).select("f.*")
 
-def bm25(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int | None = 10) -> DataFrame:
+
+def index(clauses: DataFrame, asked: DataFrame | None = None, analyzer=terms) -> DataFrame:
+    """Postings, written once: look-ups and frequencies read them, and a common term lies in many files."""
+    salt = F.pmod(F.xxhash64("clause_id"), F.lit(SALTS))
+    return materialize(postings(clauses, asked, analyzer).repartition("term", salt), "postings")
+
+
+def asked_terms(queries: DataFrame, analyzer=terms) -> DataFrame:
+    """The distinct terms of queries, written once."""
+    return materialize(queries.select(F.explode(analyzer(F.col("text"))).alias("term")).distinct(), "terms")
+
+
+def bm25(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int | None = 10, analyzer=terms) -> DataFrame:
     """query_id, clause_id, doc_id, score, rank: best of twice the title's and the text's BM25.
 
     queries: query_id, tenant_id, text and optionally exclude_doc_id, doc_types
-    (an array), doc_id, hash_prefix; clauses: clause_id, tenant_id, doc_id and
-    what those conditions name.
+    (an array), doc_id, hash_prefix. Frequencies are those of the whole index,
+    whatever the tenant. index: postings of the clauses, of all terms or of those
+    that the queries have; clauses give the fields' mean lengths.
     """
-    df, fields = statistics(index)
-    asked = queries.select("query_id", "tenant_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    # Only terms that are asked for leave the index; the table of fields has two rows.
-    hits = index.join(asked, ["tenant_id", "term"]).join(df, ["field", "term"]).join(F.broadcast(fields), "field")
-    idf = F.log1p((F.col("n_clauses") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("field_length") / F.col("mean_length")))
-    by_field = hits.groupBy("query_id", "clause_id").agg(F.sum(F.when(F.col("field") == "title", part)).alias("title"), F.sum(F.when(F.col("field") == "text", part)).alias("text"))
-    scored = by_field.select("query_id", "clause_id", F.round(F.greatest(2 * F.coalesce("title", F.lit(0.0)), F.coalesce("text", F.lit(0.0))), DIGITS).alias("score"))
-    return _top(_allowed(scored, queries, clauses), k)
-
-
-def knn(queries: DataFrame, clauses: DataFrame, k: int | None = 10) -> DataFrame:
+    known = materialize(fields(clauses, analyzer), "fields")
+    asked = _asked(queries, F.explode(F.array_distinct(analyzer(F.col("text")))).alias("term"))
+    words = asked.select("term").distinct()
+    df = index.join(F.broadcast(words) if asked.count() <= FEW else words, "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+    # The weight of a term belongs to what is asked; the table of fields has two rows.
+    weight = F.log1p((F.col("n_clauses") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.join(df, "term").join(F.broadcast(known), "field").withColumn("idf", weight).drop("df", "n_clauses")
+    hits = _allowed(_meet(index, materialize(asked, "asked"), ["tenant_id", "term", "field"]))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("field_length") / F.col("mean_length")))
+    by_field = hits.groupBy("query_id", "clause_id", "doc_id").agg(F.sum(F.when(F.col("field") == "title", part)).alias("title"), F.sum(F.when(F.col("field") == "text", part)).alias("text"))
+    scored = by_field.select("query_id", "clause_id", "doc_id", F.round(F.greatest(2 * F.coalesce("title", F.lit(0.0)), F.coalesce("text", F.lit(0.0))), DIGITS).alias("score"))
+    return _top(scored, k)
+
+
+def _dot(a: Column, b: Column, dimensions: int) -> Column:
+    return reduce(lambda s, x: s + x, (F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(dimensions)))
+
+
+def knn(queries: DataFrame, clauses: DataFrame, k: int | None = 10, dimensions: int | None = None) -> DataFrame:
     """query_id, clause_id, doc_id, score, rank: exact nearest vectors by cosine, as 1 / (2 - cosine).
 
     Conditions apply before the k nearest are taken, so there are k where k qualify.
+    With ``dimensions`` the products are one compiled expression, and vectors of
+    fewer elements are near to none.
     """
-    q = queries.select("query_id", "tenant_id", F.col("vector").alias("_q"))
-    pairs = clauses.select("clause_id", "tenant_id", F.col("vector").alias("_v")).join(q, "tenant_id")
-    scored = pairs.select("query_id", "clause_id", F.round(1 / (2 - cosine(F.col("_q"), F.col("_v"))), DIGITS).alias("score")).filter("score is not null")
-    return _top(_allowed(scored, queries, clauses), k)
-
-
-def _allowed(scored: DataFrame, queries: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Hits with their doc_id that meet the query's own conditions."""
-    known = [c for c in ("doc_type", "structural_hash") if c in clauses.columns]
-    rows = scored.join(clauses.select("clause_id", F.col("doc_id").alias("_d"), *(F.col(c).alias(f"_{c}") for c in known)), "clause_id")
-    asked = [c for c in ("exclude_doc_id", "doc_types", "doc_id", "hash_prefix") if c in queries.columns]
-    if asked:
-        rows = rows.join(queries.select("query_id", *asked), "query_id")
-    tests = {
-        "exclude_doc_id": lambda: F.col("exclude_doc_id").isNull() | (F.col("_d") != F.col("exclude_doc_id")),
-        "doc_types": lambda: F.col("doc_types").isNull() | F.array_contains(F.coalesce("doc_types", F.array().cast("array<string>")), F.col("_doc_type")),
-        "doc_id": lambda: F.col("doc_id").isNull() | (F.col("_d") == F.col("doc_id")),
-        "hash_prefix": lambda: F.col("hash_prefix").isNull() | F.startswith(F.col("_structural_hash"), F.col("hash_prefix")),
-    }
-    for c in asked:
-        rows = rows.filter(tests[c]())
-    return rows.select("query_id", "clause_id", F.col("_d").alias("doc_id"), "score")
+    own = clauses.select(*_carried(clauses), F.col("vector").alias("_v")).filter("_v is not null")
+    asked = _asked(queries.filter("vector is not null"), F.col("vector").alias("_q"))
+    if dimensions is None:
+        value = cosine(F.col("_q"), F.col("_v"))
+    else:
+        own = own.withColumn("_vn", F.sqrt(_dot(F.col("_v"), F.col("_v"), dimensions))).filter("_vn > 0")
+        asked = asked.withColumn("_qn", F.sqrt(_dot(F.col("_q"), F.col("_q"), dimensions))).filter("_qn > 0")
+        value = _dot(F.col("_q"), F.col("_v"), dimensions) / (F.col("_qn") * F.col("_vn"))
+    pairs = _allowed(_meet(own, asked, ["tenant_id"]))
+    scored = pairs.select("query_id", "clause_id", "doc_id", F.round(1 / (2 - value), DIGITS).alias("score")).filter("score is not null")
+    return _top(scored, k)
 
 
 def _top(hits: DataFrame, k: int | None, key: str = "clause_id") -> DataFrame:
@@ -109,9 +171,10 @@ def fuse(near: DataFrame, keyword: DataFrame, k: int | None = 10, alpha: float =
     return _top(rows, k, "doc_id")
 
 
-def hybrid(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int = 10, alpha: float = ALPHA) -> DataFrame:
+def hybrid(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int = 10, alpha: float = ALPHA, dimensions: int | None = None) -> DataFrame:
     """Documents by both channels, 2k hits fetched from each."""
-    return fuse(knn(queries, clauses, 2 * k), bm25(queries, index, clauses, 2 * k), k, alpha)
+    near, keyword = (materialize(x, "hits") for x in (knn(queries, clauses, 2 * k, dimensions), bm25(queries, index, clauses, 2 * k)))
+    return fuse(near, keyword, k, alpha)
 
 
 def retrieve(near: DataFrame, keyword: DataFrame, k: int = 8) -> DataFrame:
@@ -146,6 +209,10 @@ def top_k(asked: Column, default: int = 8) -> Column:
 
 def hashed_embedding(text: Column, dimensions: int = 16) -> Column:
     """The default embedder: term counts by a hash of the term, an array of doubles."""
+    if dimensions == 16:  # the slot is one hexadecimal digit, so a text's slots are a string
+        digits = F.array_join(F.transform(terms(text), lambda t: F.substring(F.md5(t), 4, 1)), "")
+        one = F.transform(F.array(digits), lambda own: F.array(*((F.length(own) - F.length(F.replace(own, F.lit(f"{d:x}"), F.lit("")))).cast("double") for d in range(16))))
+        return F.element_at(one, 1)
     slots = F.transform(terms(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dimensions))
     # As an array's only element the slots are computed once, not again for each dimension.
     counted = F.transform(F.array(slots), lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(own, lambda s: s == d)).cast("double")))

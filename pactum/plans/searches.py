@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pactum.functions.text import content_hash
-from pactum.functions.vocabulary import PARENT_TYPES
-from pactum.operators import lineage, search
+from pactum.functions.text import ENDINGS, STOP_WORDS, analyzed, content_hash, structural_hash
+from pactum.operators import lineage, matching, search
 from pactum.plans.diffs import SQL_NORM
 from pactum.sources import adapters as a
 from pactum.sources.shared import materialize
@@ -15,17 +14,22 @@ from pactum.sources.shared import materialize
 def knn_topk(spark, sf_dir):
     vectors = a.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clause_id"), F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("tenant_id"), F.col("embedding").alias("vector"))
     queries = vectors.filter("clause_id % 50 = 0").select(F.col("clause_id").alias("query_id"), "tenant_id", "vector", F.col("doc_id").alias("exclude_doc_id"))
-    return search.knn(queries, vectors, 10).select("query_id", "clause_id", "score", "rank")
+    return search.knn(queries, vectors, 10, 64).select("query_id", "clause_id", "score", "rank")
 
 
-def _clauses(spark, sf_dir):
-    """Indexed clauses: one for each line with words, under a numeric id that keeps document order."""
+def _indexed(spark, sf_dir):
     docs = a.documents(spark, sf_dir).select("doc_id", "tenant_id", "doc_type")
+    # A document has fewer than 2^24 lines, as it is one string, so the number is its own and keeps document order.
     return a.clauses(spark, sf_dir).join(docs, "doc_id").select(
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("clause_id"), "doc_id", "pos", "tenant_id", "doc_type", "category", F.col("number").alias("clause_number"), "title", F.col("body").alias("text")
+        (F.col("doc_id") * 16777216 + F.col("pos")).alias("clause_id"), "doc_id", "pos", "tenant_id", "doc_type", "category", F.col("number").alias("clause_number"), "title", F.col("body").alias("text")
     )
 
 
+def _clauses(spark, sf_dir):
+    """Indexed clauses with vectors, written once: one for each line, under a numeric id that keeps document order."""
+    return materialize(_embedded(_indexed(spark, sf_dir)), "clauses")
+
+
 def _questions(spark, sf_dir):
     return a.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("tenant_id"), "text")
 
@@ -34,27 +38,46 @@ def _embedded(df):
     return df.withColumn("vector", search.hashed_embedding(F.col("text")))
 
 
-def _index(clauses):
-    """The written posting table: statistics and look-ups read it, so texts are split into terms once."""
-    return materialize(search.postings(clauses).repartition("term").sortWithinPartitions("term"), "postings")
+def _index(clauses, queries, analyzer=search.terms):
+    """An index of the terms that the queries have: others can't change an answer."""
+    return search.index(clauses, search.asked_terms(queries, analyzer), analyzer)
 
 
 def bm25_topk(spark, sf_dir):
-    clauses = _clauses(spark, sf_dir)
-    return search.bm25(_questions(spark, sf_dir), _index(clauses), clauses).select("query_id", "clause_id", "doc_id", "score", "rank")
+    clauses, questions = _indexed(spark, sf_dir), _questions(spark, sf_dir)
+    return search.bm25(questions, _index(clauses, questions), clauses).select("query_id", "clause_id", "doc_id", "score", "rank")
+
+
+def bm25_english(spark, sf_dir):
+    """The same over English terms: possessives, stop words and endings aside."""
+    clauses, questions = _indexed(spark, sf_dir), _questions(spark, sf_dir)
+    found = search.bm25(questions, _index(clauses, questions, analyzed), clauses, 10, analyzed)
+    return found.select("query_id", "clause_id", "doc_id", "score", "rank")
+
+
+def english_terms(spark, sf_dir):
+    return a.table(spark, sf_dir, "documents").select("doc_id", F.size(analyzed(F.col("text"))).alias("n_terms"), F.sha2(F.array_join(analyzed(F.col("text")), " "), 256).alias("sha"))
 
 
 def hybrid_fusion(spark, sf_dir):
-    clauses = _clauses(spark, sf_dir)
-    found = search.hybrid(_embedded(_questions(spark, sf_dir)), _index(clauses), _embedded(clauses), 10)
+    clauses, questions = _clauses(spark, sf_dir), _questions(spark, sf_dir)
+    found = search.hybrid(_embedded(questions), _index(clauses, questions), clauses, 10, dimensions=16)
     return found.select("query_id", "doc_id", "clause_id", "knn_score", "bm25_score", "score", "rank")
 
 
+def scoped_search(spark, sf_dir):
+    """Questions put to one document each: the tenant's of least number that is not below the question's."""
+    clauses, questions = _clauses(spark, sf_dir), _questions(spark, sf_dir)
+    scope = questions.join(a.documents(spark, sf_dir).select("doc_id", "tenant_id"), "tenant_id").filter("doc_id >= query_id").groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    asked = questions.join(scope, "query_id")
+    return search.knn(_embedded(asked), clauses, 3, 16).select("query_id", "doc_id", "clause_id", "score", "rank")
+
+
 def _retrieved(spark, sf_dir):
-    """At most five nearest clauses of one category of documents, so that keyword hits fill what is left of eight."""
+    """The nearest of all of a tenant's clauses, then keyword hits where there are fewer than eight."""
     clauses, questions = _clauses(spark, sf_dir), _questions(spark, sf_dir)
-    near = search.knn(_embedded(questions), _embedded(clauses.filter("doc_type = 'MSA' and pos < 1")), 8).filter("rank <= 5")
-    return search.retrieve(near, search.bm25(questions, _index(clauses), clauses, 8), 8), clauses
+    near = materialize(search.knn(_embedded(questions), clauses, 8, 16), "hits")
+    return search.retrieve(near, search.bm25(questions, _index(clauses, questions), clauses, 8), 8), clauses
 
 
 def clause_retrieval_fill(spark, sf_dir):
@@ -66,21 +89,22 @@ def rag_context(spark, sf_dir):
     return search.context(hits, clauses).select("query_id", F.sha2("context", 256).alias("context_sha"), F.size("citations").alias("n_citations"))
 
 
+def context_by_document(spark, sf_dir):
+    hits, clauses = _retrieved(spark, sf_dir)
+    return search.context(hits, clauses, 300, True).select("query_id", F.sha2("context", 256).alias("context_sha"), F.size("citations").alias("n_citations"))
+
+
 def representative_clause(spark, sf_dir):
     return lineage.representative(a.clauses(spark, sf_dir)).select("doc_id", "pos", "category", F.length("body").alias("body_length"))
 
 
 def _matched(spark, sf_dir):
-    clauses, docs = _clauses(spark, sf_dir), a.documents(spark, sf_dir)
-    shape = a.clauses(spark, sf_dir).groupBy("doc_id").agg(F.sha2(F.count("*").cast("string"), 256).alias("structural_hash"))
-    children = docs.filter("doc_type = 'AMENDMENT'").join(shape, "doc_id")
-    rep = lineage.representative(clauses.withColumn("body", F.col("text"))).select("doc_id", F.left("text", F.lit(4000)).alias("text"))
-    queries = children.join(rep, "doc_id").select(F.col("doc_id").alias("query_id"), "tenant_id", "text", F.col("doc_id").alias("exclude_doc_id"), F.array(*map(F.lit, PARENT_TYPES)).alias("doc_types"), "title", F.substring("structural_hash", 1, 8).alias("hash_prefix"))
-    index = _index(clauses)
-    hybrid = search.hybrid(_embedded(queries.drop("hash_prefix", "title")), index, _embedded(clauses), 10).select(F.col("query_id").alias("child_id"), "doc_id", "score")
-    titled = queries.drop("text").withColumnRenamed("title", "text").filter("text <> ''")
-    structural = search.bm25(titled, index, clauses.join(shape, "doc_id"), 20).select(F.col("query_id").alias("child_id"), "doc_id")
-    return lineage.combine(hybrid, structural, children.select("doc_id", "title"), docs.select("doc_id", "title"))
+    docs = a.documents(spark, sf_dir)
+    ordered = a.clauses(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "number", "title"))).alias("c"))
+    shape = materialize(ordered.select("doc_id", structural_hash(F.col("c")).alias("structural_hash")), "shapes")
+    clauses = materialize(_embedded(_indexed(spark, sf_dir)).join(shape, "doc_id"), "clauses")
+    children = docs.filter("doc_type = 'AMENDMENT'").join(shape, "doc_id").select("doc_id", "tenant_id", "title", "structural_hash")
+    return matching.parents(children, clauses, docs)
 
 
 def parent_match(spark, sf_dir):
@@ -88,7 +112,7 @@ def parent_match(spark, sf_dir):
 
 
 def match_reason(spark, sf_dir):
-    return _matched(spark, sf_dir).select("doc_id", F.when(F.col("match_reason").startswith("best candidate"), "below threshold").when(F.col("match_reason") == "no candidates found", "none").otherwise("linked").alias("outcome"))
+    return _matched(spark, sf_dir).select("doc_id", "match_reason")
 
 
 def embedding_inputs(spark, sf_dir):
@@ -96,7 +120,7 @@ def embedding_inputs(spark, sf_dir):
     return rows.groupBy(content_hash(F.col("body")).alias("content_hash")).agg(F.count("*").alias("n_clauses"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, bm25_topk, hybrid_fusion, clause_retrieval_fill, rag_context, representative_clause, parent_match, match_reason, embedding_inputs)}
+QUERIES = {f.__name__: f for f in (knn_topk, bm25_topk, bm25_english, english_terms, hybrid_fusion, scoped_search, clause_retrieval_fill, rag_context, context_by_document, representative_clause, parent_match, match_reason, embedding_inputs)}
 
 _TERMS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _SLOTS = "[" + ", ".join(f"CAST(len(list_filter(b, lambda x: x = {d})) AS DOUBLE)" for d in range(16)) + "]"
@@ -106,27 +130,36 @@ def _vector(text: str, source: str, keep: str) -> str:
     return f"SELECT {keep}, {_SLOTS} AS v FROM (SELECT *, list_transform({_TERMS.format(text)}, lambda t: CAST('0x' || substr(md5(t), 1, 4) AS INTEGER) % 16) AS b FROM {source})"
 
 
-_INDEXED = f"""{a.SQL_CLAUSE}, {a.SQL_DOCUMENT},
-idx AS (SELECT c.doc_id * 100000 + c.pos AS clause_id, c.doc_id, c.pos, d.tenant_id, d.doc_type, c.category, c.number AS clause_number, c.title, c.body AS text FROM clause c JOIN document d USING (doc_id)),
-tok AS (SELECT clause_id, doc_id, tenant_id, 'title' AS field, {_TERMS.format('title')} AS t FROM idx UNION ALL SELECT clause_id, doc_id, tenant_id, 'text', {_TERMS.format('text')} FROM idx),
+_PLAIN = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[''’]s\b', '', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND NOT list_contains(" + str(STOP_WORDS) + ", x))"
+_STEM = "CASE " + " ".join(f"WHEN regexp_matches(w, '{p}') THEN regexp_replace(w, '{p}', '\\1{put}')" for p, put in ENDINGS) + " ELSE w END"
+_ENGLISH = "list_transform(" + _PLAIN + ", lambda w: " + _STEM.replace("{", "{{").replace("}", "}}") + ")"
+
+
+def _posted(terms: str) -> str:
+    return f"""{a.SQL_CLAUSE}, {a.SQL_DOCUMENT},
+idx AS (SELECT c.doc_id * 16777216 + c.pos AS clause_id, c.doc_id, c.pos, d.tenant_id, d.doc_type, c.category, c.number AS clause_number, c.title, c.body AS text FROM clause c JOIN document d USING (doc_id)),
+tok AS (SELECT clause_id, doc_id, tenant_id, 'title' AS field, {terms.format('title')} AS t FROM idx UNION ALL SELECT clause_id, doc_id, tenant_id, 'text', {terms.format('text')} FROM idx),
 posting AS (SELECT clause_id, doc_id, tenant_id, field, n, term, count(*) AS tf FROM (SELECT clause_id, doc_id, tenant_id, field, len(t) AS n, unnest(t) AS term FROM tok) GROUP BY ALL),
 freq AS (SELECT field, term, count(*) AS df FROM posting GROUP BY ALL),
 fields AS (SELECT field, count(*) AS nc, avg(len(t)) AS avgl FROM tok WHERE len(t) > 0 GROUP BY field)"""
 
 
-def _bm25(name: str, queries: str, k: int, where: str = "TRUE") -> str:
+_INDEXED = _posted(_TERMS)
+
+
+def _bm25(name: str, queries: str, k: int, where: str = "TRUE", terms: str = _TERMS) -> str:
     """CTEs that end with ``name``: query_id, clause_id, doc_id, score, rank."""
-    return f"""{name}_term AS (SELECT query_id, tenant_id, unnest(list_distinct({_TERMS.format('text')})) AS term FROM {queries}),
+    return f"""{name}_term AS (SELECT query_id, tenant_id, unnest(list_distinct({terms.format('text')})) AS term FROM {queries}),
 {name}_part AS (SELECT q.query_id, p.clause_id, p.doc_id, p.field, sum(ln(1 + (nc - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avgl))) AS s
     FROM {name}_term q JOIN posting p ON p.tenant_id = q.tenant_id AND p.term = q.term JOIN freq f ON f.field = p.field AND f.term = p.term JOIN fields e ON e.field = p.field GROUP BY ALL),
 {name}_sum AS (SELECT query_id, clause_id, doc_id, round(greatest(2 * coalesce(max(s) FILTER (field = 'title'), 0), coalesce(max(s) FILTER (field = 'text'), 0)), 6) AS score FROM {name}_part GROUP BY ALL),
 {name} AS (SELECT * FROM (SELECT h.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clause_id) AS INTEGER) AS rank FROM {name}_sum h WHERE {where}) WHERE rank <= {k})"""
 
 
-def _knn(name: str, queries: str, clauses: str, k: int) -> str:
+def _knn(name: str, queries: str, clauses: str, k: int, where: str = "TRUE") -> str:
     """queries and clauses: names of tables with v."""
     return f"""{name}_sum AS (SELECT q.query_id, c.clause_id, c.doc_id, round(1 / (2 - list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)))), 6) AS score
-    FROM {queries} q JOIN {clauses} c ON c.tenant_id = q.tenant_id WHERE list_dot_product(c.v, c.v) > 0 AND list_dot_product(q.v, q.v) > 0),
+    FROM {queries} q JOIN {clauses} c ON c.tenant_id = q.tenant_id WHERE list_dot_product(c.v, c.v) > 0 AND list_dot_product(q.v, q.v) > 0 AND {where}),
 {name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clause_id) AS INTEGER) AS rank FROM {name}_sum) WHERE rank <= {k})"""
 
 
@@ -145,17 +178,17 @@ def _fuse(name: str, near: str, keyword: str, k: int) -> str:
 _Q = "question AS (SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS tenant_id, text FROM benchmark)"
 _QV = f"qv AS ({_vector('text', 'question', 'query_id, tenant_id, text')})"
 _CV = f"cv AS ({_vector('text', 'idx', 'clause_id, doc_id, tenant_id, doc_type, pos')})"
-_RETRIEVED = f"""WITH {_INDEXED}, {_Q}, {_QV}, {_CV}, first_msa AS (SELECT * FROM cv WHERE doc_type = 'MSA' AND pos < 1), {_knn('near', 'qv', 'first_msa', 5)}, {_bm25('kw', 'question', 8)},
+_RETRIEVED = f"""WITH {_INDEXED}, {_Q}, {_QV}, {_CV}, {_knn('near', 'qv', 'cv', 8)}, {_bm25('kw', 'question', 8)},
 filled AS (SELECT query_id, clause_id, doc_id, 0 AS channel, rank AS r FROM near UNION ALL SELECT query_id, clause_id, doc_id, 1, rank FROM kw ANTI JOIN near USING (query_id, clause_id)),
 got AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY channel, r) AS INTEGER) AS rank FROM filled) WHERE rank <= 8)
 """
 _REP = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, CASE WHEN p THEN 0 ELSE -length(body) END, pos) AS r FROM (
     SELECT *, category IN ('ScopeOfWork', 'Definitions', 'Term', 'Fees') AND body <> '' AS p FROM {0})) WHERE r = 1"""
-_MATCH = f"""WITH {_INDEXED}, shape AS (SELECT doc_id, sha256(CAST(count(*) AS VARCHAR)) AS sh FROM clause GROUP BY doc_id),
+_MATCH = f"""WITH {_INDEXED}, shape AS (SELECT doc_id, sha256(string_agg({SQL_NORM.format('number')} || '|' || {SQL_NORM.format('title')}, chr(10) ORDER BY pos)) AS sh FROM clause GROUP BY doc_id),
 rep AS ({_REP.format('clause')}),
 child AS (SELECT d.*, s.sh FROM document d JOIN shape s USING (doc_id) WHERE doc_type = 'AMENDMENT'),
 question AS (SELECT c.doc_id AS query_id, c.tenant_id, left(r.body, 4000) AS text FROM child c JOIN rep r ON r.doc_id = c.doc_id),
-titled AS (SELECT doc_id AS query_id, tenant_id, title AS text FROM child WHERE title <> ''), {_QV}, {_CV},
+titled AS (SELECT c.doc_id AS query_id, c.tenant_id, coalesce(nullif(c.title, ''), left(r.body, 4000)) AS text FROM child c JOIN rep r ON r.doc_id = c.doc_id), {_QV}, {_CV},
 parent_cv AS (SELECT * FROM cv WHERE doc_type IN ('SOW', 'MSA')),
 {_knn('near', 'qv', 'parent_cv', 20)},
 {_bm25('kw', 'question', 20, "doc_id IN (SELECT doc_id FROM document WHERE doc_type IN ('SOW', 'MSA'))")},
@@ -164,8 +197,8 @@ parent_cv AS (SELECT * FROM cv WHERE doc_type IN ('SOW', 'MSA')),
 cand AS (SELECT coalesce(a.query_id, b.query_id) AS child_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.score, 0) AS hy, CASE WHEN b.doc_id IS NULL THEN 0.0 ELSE 1.0 END AS st
     FROM hy a FULL JOIN (SELECT DISTINCT query_id, doc_id FROM st) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
 words AS (SELECT doc_id, {SQL_NORM.format('title')} AS n, list_distinct(string_split({SQL_NORM.format('title')}, ' ')) AS w FROM document),
-scored AS (SELECT child_id, c.doc_id, round(0.60 * hy + 0.25 * st + 0.15 * CASE WHEN x.n = '' OR y.n = '' THEN 0 ELSE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) END, 9) AS score
-    FROM cand c JOIN words x ON x.doc_id = child_id JOIN words y ON y.doc_id = c.doc_id),
+scored AS (SELECT *, round(0.60 * hy + 0.25 * st + 0.15 * ti, 9) AS score FROM (SELECT child_id, c.doc_id, hy, st, CASE WHEN x.n = '' OR y.n = '' THEN 0 ELSE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) END AS ti
+    FROM cand c JOIN words x ON x.doc_id = child_id JOIN words y ON y.doc_id = c.doc_id)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0) WHERE r = 1)
 """
 SQL = {
@@ -173,11 +206,18 @@ SQL = {
         round(1 / (2 - list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)))), 6) AS score FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clause_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
     "bm25_topk": f"WITH {_INDEXED}, {_Q}, {_bm25('kw', 'question', 10)} SELECT query_id, clause_id, doc_id, score, rank FROM kw",
+    "bm25_english": f"WITH {_posted(_ENGLISH)}, {_Q}, {_bm25('kw', 'question', 10, terms=_ENGLISH)} SELECT query_id, clause_id, doc_id, score, rank FROM kw",
+    "english_terms": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_terms, sha256(array_to_string(t, ' ')) AS sha FROM (SELECT doc_id, {_ENGLISH.format('text')} AS t FROM documents)",
+    "scoped_search": f"WITH {_INDEXED}, {_Q}, {_QV}, {_CV}, scope AS (SELECT query_id, min(d.doc_id) AS only_doc FROM question JOIN document d USING (tenant_id) WHERE d.doc_id >= query_id GROUP BY query_id), "
+    f"qs AS (SELECT qv.*, only_doc FROM qv JOIN scope USING (query_id)), {_knn('near', 'qs', 'cv', 3, 'q.only_doc = c.doc_id')} SELECT query_id, doc_id, clause_id, score, rank FROM near",
     "hybrid_fusion": f"WITH {_INDEXED}, {_Q}, {_QV}, {_CV}, {_knn('near', 'qv', 'cv', 20)}, {_bm25('kw', 'question', 20)}, {_fuse('hy', 'near', 'kw', 10)} SELECT query_id, doc_id, clause_id, knn_score, bm25_score, score, rank FROM hy",
     "clause_retrieval_fill": _RETRIEVED + "SELECT query_id, clause_id, channel, rank FROM got",
     "rag_context": _RETRIEVED + "SELECT query_id, sha256(string_agg('[§' || clause_number || '] ' || left(text, 1200), chr(10) ORDER BY rank)) AS context_sha, CAST(count(*) AS INTEGER) AS n_citations FROM got JOIN idx USING (clause_id) GROUP BY query_id",
+    "context_by_document": _RETRIEVED + "SELECT query_id, sha256(string_agg('[doc=' || i.doc_id || '] §' || clause_number || chr(10) || left(text, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_sha, CAST(count(*) AS INTEGER) AS n_citations FROM got g JOIN idx i USING (clause_id) GROUP BY query_id",
     "representative_clause": f"WITH {a.SQL_CLAUSE} SELECT doc_id, pos, category, CAST(length(body) AS INTEGER) AS body_length FROM ({_REP.format('clause')})",
     "parent_match": _MATCH + "SELECT c.doc_id, CASE WHEN score >= 0.7 THEN b.doc_id END AS parent_doc_id, round(coalesce(score, 0), 4) AS match_confidence FROM child c LEFT JOIN best b ON b.child_id = c.doc_id",
-    "match_reason": _MATCH + "SELECT c.doc_id, CASE WHEN score >= 0.7 THEN 'linked' WHEN score IS NULL THEN 'none' ELSE 'below threshold' END AS outcome FROM child c LEFT JOIN best b ON b.child_id = c.doc_id",
+    "match_reason": _MATCH + """SELECT c.doc_id, CASE WHEN score IS NULL THEN 'no candidates found' WHEN score < 0.7 THEN 'best candidate ' || b.doc_id || ' below threshold (' || printf('%.2f', round(score, 2)) || ')'
+        ELSE concat_ws(' + ', CASE WHEN hy <> 0 THEN 'hybrid=' || printf('%.2f', round(hy, 2)) END, CASE WHEN st <> 0 THEN 'structural-hash' END, CASE WHEN ti <> 0 THEN 'title-sim=' || printf('%.2f', round(ti, 2)) END) END AS match_reason
+        FROM child c LEFT JOIN best b ON b.child_id = c.doc_id""",
     "embedding_inputs": f"WITH {a.SQL_CLAUSE} SELECT sha256(trim(body)) AS content_hash, count(*) AS n_clauses, count(DISTINCT doc_id) AS n_docs FROM clause GROUP BY 1",
 }
