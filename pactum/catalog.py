@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pactum.plans import diffs, requests, searches, states, streams, texts
+from pactum.plans import classification, diffs, files, requests, searches, states, streams, tables, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (texts, diffs, searches, states, streams, requests):
+for _module in (texts, classification, diffs, searches, states, tables, streams, files, requests):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.SQL

@@ -11,11 +11,12 @@ from pactum.sources import adapters as a
 
 
 def root_walk(spark, sf_dir):
-    return lineage.roots_sql(spark, a.lineage(spark, sf_dir), a.documents(spark, sf_dir)).select("doc_id", "root_id", "hops")
+    """The same where the edges may have cycles; ``root_cycles`` has some."""
+    return lineage.roots(a.lineage(spark, sf_dir), a.documents(spark, sf_dir), "entry").select("doc_id", "root_id", F.col("hops").cast("int").alias("hops"))
 
 
 def root_pointers(spark, sf_dir):
-    return lineage.roots(a.lineage(spark, sf_dir), a.documents(spark, sf_dir)).select("doc_id", "root_id", "hops")
+    return lineage.roots(a.lineage(spark, sf_dir), a.documents(spark, sf_dir)).select("doc_id", "root_id", F.col("hops").cast("int").alias("hops"))
 
 
 def chain_order(spark, sf_dir):
@@ -53,8 +54,8 @@ def version_latest(spark, sf_dir):
 
 def version_insert_if_absent(spark, sf_dir):
     v = _versions(spark, sf_dir).select("doc_id", "version_number", "o_orderkey")
-    new = v.filter("version_number <= 2").select("doc_id", (F.col("version_number") + 3).alias("version_number"), (-F.col("o_orderkey")).alias("o_orderkey"))
-    return store.insert_if_absent(v.filter("version_number <= 4"), new, ["doc_id", "version_number"])
+    new = v.select("doc_id", (F.col("version_number") + 3).alias("version_number"), (-F.col("o_orderkey")).alias("o_orderkey"))
+    return store.insert_if_absent(v, new, ["doc_id", "version_number"])
 
 
 def version_delete_rollback(spark, sf_dir):
@@ -189,7 +190,7 @@ SQL = {
     "fold_current": _fold("active"),
     "fold_future": _fold("root_id IN (SELECT root_id FROM change WHERE NOT active)"),
     "version_latest": f"WITH {_V} SELECT doc_id, max(version_number) AS version_number, max_by(o_orderkey, version_number) AS o_orderkey FROM v GROUP BY doc_id",
-    "version_insert_if_absent": f"WITH {_V}, old AS (SELECT doc_id, version_number, o_orderkey FROM v WHERE version_number <= 4) SELECT * FROM old UNION ALL SELECT doc_id, version_number, o_orderkey FROM (SELECT doc_id, version_number + 3 AS version_number, -o_orderkey AS o_orderkey FROM v WHERE version_number <= 2) n ANTI JOIN old USING (doc_id, version_number)",
+    "version_insert_if_absent": f"WITH {_V}, old AS (SELECT doc_id, version_number, o_orderkey FROM v) SELECT * FROM old UNION ALL SELECT doc_id, version_number, o_orderkey FROM (SELECT doc_id, version_number + 3 AS version_number, -o_orderkey AS o_orderkey FROM v) n ANTI JOIN old USING (doc_id, version_number)",
     "version_delete_rollback": f"WITH {_V} SELECT doc_id, max(version_number) FILTER (kept) AS latest_version, nullif(count(*) FILTER (kept), 0) AS n_versions FROM (SELECT *, NOT (o_orderstatus = 'F' OR version_number % 3 = 0) AS kept FROM v) GROUP BY doc_id",
     "upsert_latest_wins": "WITH n AS (SELECT o_custkey AS doc_id, 'order ' || max(o_orderkey) AS title, lower(max_by(o_orderstatus, o_orderkey)) AS lifecycle FROM orders GROUP BY o_custkey) SELECT * FROM n UNION ALL SELECT c_custkey, c_name, 'draft' FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM n)",
     "partial_update": f"WITH {a.SQL_DOCUMENT} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'title ' || doc_id ELSE title END AS title, CASE WHEN doc_id % 15 = 0 THEN 'active' ELSE lifecycle END AS lifecycle, CASE WHEN doc_id % 21 = 0 THEN NULL ELSE effective_date END AS effective_date FROM document",
