@@ -9,7 +9,11 @@ windows are too short for the guarantee and are looked up at every position.
 
 Hashes have 64 bits. The items' index is built on executors in blocks of a set
 number of bytes and stored in the shared folder; a task holds one block at a
-time, so neither driver nor task memory grows with the benchmark.
+time, so neither driver nor task memory grows with the benchmark. With one block,
+tasks look their grams up in it. With several, the fingerprints of texts that a
+bitmap lets through are joined with those of the blocks by a shuffle, and only
+the pairs of text and block that meet there are extended, block by block, so no
+block is read but for its hits; equal texts are joined once.
 
 Cases: a null text has no words; null item_ids make hits but are not listed;
 repeated item rows count once; documents keep one result a row, whatever their
@@ -27,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import fields, filesystem, free_name, materialize, own_columns, ranges, set_aside, shared_dir, sliced, table, utf8
-from pactum.llm.words import grams, hash_words, member
+from pactum.llm.common import bounded, fields, filesystem, free_name, materialize, own_columns, ranges, set_aside, shared_dir, sliced, table, utf8
+from pactum.llm.words import WORD_PATTERN, grams, hash_words, member
 
 SPAN = 10
 GRAM = 5
@@ -167,19 +171,137 @@ def scan(raw, offsets, blocks: list[str], span: int = SPAN, gram: int = GRAM):
     return np.diff(bounds), np.diff(sums[bounds]), found, flags, bounds
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def _bitmap(fingerprints: DataFrame, folder: str) -> str:
+    """A file of bits, one set for each fingerprint's leading bits: about 16 a fingerprint, 256 MB at most."""
+    bits = int(min(31, max(16, np.ceil(np.log2(max(1, fingerprints.count()))) + 4)))
+
+    def build(batches):
+        import pyarrow as pa
+
+        seen = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            at = (batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        fs, path = filesystem(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"bits.{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            out.write(seen.tobytes())
+        yield pa.RecordBatch.from_pydict({"name": [f"{folder}/{name}"]})
+
+    return materialize(fingerprints.select("hash").coalesce(1).mapInArrow(build, "name string"), "bitmap").first()["name"]
+
+
+def _passing(name: str, kept_bits: dict = {}):  # noqa: B006  the bits stay in the worker
+    if name not in kept_bits:
+        kept_bits.clear()
+        fs, path = filesystem(name)
+        with fs.open_input_file(path) as source:
+            kept_bits[name] = np.frombuffer(source.read(), np.uint8)
+    seen = kept_bits[name]
+    shift = np.uint64(64 - (len(seen).bit_length() + 2))
+
+    def passing(hashes):
+        at = (hashes >> shift).astype(np.int64)
+        return (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    return passing
+
+
+def _joined(docs: DataFrame, blocks: list[str], span: int, gram: int, names: tuple[str, str, str]) -> DataFrame:
+    """The results by a join of fingerprints, for an index of several blocks."""
+    spark = docs.sparkSession
+    window = span - gram + 1
+    key = free_name([*docs.columns, *names], "text_key")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+    def listed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for number in batch.column("block").to_pylist():
+                part = _load(blocks[number])
+                found = [(span, part["prints"]), *((n, np.unique(part[f"windows{n}"])) for n in part["shorts"].tolist())]
+                for size, hashes in found:
+                    for at in range(0, len(hashes), 100_000):
+                        own = hashes[at : at + 100_000].view(np.int64)
+                        yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(own), size), pa.int32()), "hash": own, "block": pa.array(np.full(len(own), number), pa.int32())})
+
+    numbers = spark.range(len(blocks)).select(F.col("id").cast("int").alias("block")).repartition(len(blocks), "block")
+    fingerprints = materialize(numbers.mapInArrow(listed, "size int, hash long, block int"), "fingerprints")
+    shorts = sorted(r["size"] for r in fingerprints.select("size").distinct().collect() if r["size"] != span)
+    bits = _bitmap(fingerprints, shared_dir(spark, "winnow-bits"))
+    keyed = docs.select(F.md5(text.cast("binary")).alias("key"), text.alias("text"))
+
+    def printed(batches):
+        import pyarrow as pa
+
+        passing = _passing(bits)
+        for batch in sliced(batches, size=2 << 20):
+            words, bounds = hash_words(*utf8(batch.column("text")))
+            every = grams(words, gram)
+            at = kept(every, window)
+            found = [(span, at, every[at]), *((n, _inside(np.arange(max(0, len(words) - n + 1)), n, bounds), grams(words, n)) for n in shorts)]
+            for size, starts, hashes in found:
+                hashes = hashes if size == span else hashes[starts]
+                some = passing(hashes)
+                owner = np.searchsorted(bounds, starts[some], "right") - 1
+                rows = np.unique(np.stack([owner.astype(np.uint64), hashes[some]], 1), axis=0)
+                if len(rows):
+                    yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(rows[:, 0].astype(np.int64))), "size": pa.array(np.full(len(rows), size), pa.int32()), "hash": rows[:, 1].copy().view(np.int64)})
+
+    met = keyed.mapInArrow(printed, "key string, size int, hash long").distinct().join(fingerprints, ["size", "hash"])
+    pairs = materialize(met.select("key", "block").distinct(), "winnow-pairs")
+    hit = materialize(pairs.select("key").distinct(), "winnow-keys")
+    texts = keyed.join(bounded(hit), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    dealt = texts.join(pairs, "key").repartitionByRange("block", "key").sortWithinPartitions("block")
+
+    def extended(batches):
+        import pyarrow as pa
+
+        run = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for batch in sliced(batches, size=2 << 20):
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = batch.slice(a, b - a)
+                _, _, found, flags, bounds = scan(*utf8(part.column("text")), [blocks[int(block[a])]], span, gram)
+                runs = []
+                for i in range(part.num_rows):
+                    own = np.concatenate([[0], flags[bounds[i] : bounds[i + 1]].astype(np.int8), [0]])
+                    change = np.diff(own)
+                    runs.append([{"start": x, "stop": y} for x, y in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True)])
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "runs": pa.array(runs, run), "items": pa.array([sorted(found.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.string()))})
+
+    every = dealt.mapInArrow(extended, "key string, runs array<struct<start:long,stop:long>>, items array<string>")
+    runs = F.array_sort(F.flatten(F.collect_list("runs")))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("stop"))
+    add = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), r["stop"] - F.greatest(r["start"], s["stop"]))).alias("n"), F.greatest(s["stop"], r["stop"]).alias("stop"))
+    found = every.groupBy("key").agg(runs.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = materialize(found.select("key", F.aggregate("runs", start, add)["n"].alias("n"), "items"), "winnow-hits")
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = docs.withColumn(names[0], F.regexp_count(lowered, F.lit(WORD_PATTERN)).cast("long")).withColumn(key, F.md5(text.cast("binary")))
+    hits = found.select(F.col("key").alias(key), F.col("n").alias(names[1]), F.col("items").alias(names[2]))
+    none = F.array().cast("array<string>")
+    out = whole.join(bounded(hits, 50_000), key, "left").withColumns({names[1]: F.coalesce(F.col(names[1]), F.lit(0).cast("long")), names[2]: F.coalesce(F.col(names[2]), none)})
+    return out.select(*own_columns(docs), *names)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit and items (ids as strings, sorted), one row for each of docs."""
-    return _marked(set_aside(docs, FOUND), benchmark, span, gram, FOUND)
+    return _marked(set_aside(docs, FOUND), benchmark, span, gram, block_bytes, FOUND)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, names: tuple[str, str, str]) -> DataFrame:
+def _marked(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, block_bytes: int, names: tuple[str, str, str]) -> DataFrame:
     """docs with the three results under these names."""
-    blocks = index(benchmark, span, gram)
+    blocks = index(benchmark, span, gram, block_bytes)
+    if len(blocks) > 1:
+        return _joined(docs, blocks, span, gram, names)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in sliced(batches, size=4 << 20):
+        for batch in sliced(batches, size=2 << 20):
             raw, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
             n, hits, found, _, _ = scan(raw, offsets, blocks, span, gram)
             items = pa.array([sorted(found.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))
@@ -191,7 +313,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, names:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no window with an item, with their own columns."""
     names = tuple(free_name(docs.columns, n) for n in FOUND)
-    return _marked(docs, benchmark, SPAN, GRAM, names).filter(F.col(names[1]) == 0).select(*own_columns(docs))
+    return _marked(docs, benchmark, SPAN, GRAM, BLOCK_BYTES, names).filter(F.col(names[1]) == 0).select(*own_columns(docs))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

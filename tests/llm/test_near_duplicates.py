@@ -200,15 +200,25 @@ def test_winnowing_of_empty_tables(spark, case_dir):
     assert leaks(spark, case_dir, [(1, "a b c")], []) == brute_leaks([(1, "a b c")], [])
 
 
+def test_join_of_fingerprints_equals_brute_force(spark, odd):
+    """Items of many blocks, some short, in texts that hit several of them."""
+    rng = random.Random(12)
+    vocabulary = ["a", "b", "c", "dd", "é", "\U0001F600"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rng.choice([2, 9, 10, 12, 30, 60]))) for i in range(60)] + [(60, None), (None, "zz yy"), (61, "")]
+    docs = [(i, text(rng.choice([0, 5, 10, 40, 150]))) for i in range(60)] + [(100 + i, f"q {(items[i][1] + ' r ' + items[i + 20][1]).upper()} zz, YY") for i in range(30)] + [(200, "plain words only")] * 3 + odd
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("text_key", F.lit("own"))
+    rows = decontamination.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), block_bytes=300).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0) for r in rows)
+    assert got == brute_leaks(docs, items) and {r.text_key for r in rows} == {"own"}
+
+
 def test_blocks_of_items_change_nothing(spark, documents):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(40)], "item_id long, text string")
     docs = documents([(i, " ".join(f"w{i}x{k}" for k in range(2, 12))) for i in range(60)])
     assert len(decontamination.index(items, block_bytes=200)) > 5
-    import unittest.mock as mock
-
-    with mock.patch.object(decontamination.index, "__defaults__", (10, 5, 200)):
-        found = decontamination.contaminated(docs, items).filter("n_hit > 0")
-        assert sorted(r.doc_id for r in found.collect()) == list(range(40))
+    found = decontamination.contaminated(docs, items, block_bytes=200).filter("n_hit > 0")
+    assert sorted(r.doc_id for r in found.collect()) == list(range(40))
     from pyspark.sql import functions as F
 
     named = docs.withColumns({"n_hit": F.lit("own"), "ITEMS": F.lit("own"), "_n_hit": F.lit("own")})
