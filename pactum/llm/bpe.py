@@ -20,7 +20,7 @@ from pactum.llm.common import random64, ranges
 VOCABULARY = "byte_bpe_50k.json"
 _TOP = 0x250
 _CACHE = 3_000_000
-_PASS = 1 << 20
+_PASS = 1 << 19
 _SPACE, _LETTER, _NUMBER, _OTHER, _ODD = range(5)
 
 
@@ -163,6 +163,7 @@ class Encoder:
         np.cumsum(self.value[chars] * self.power[:n], out=sums[1:])
         stops = np.append(starts[1:], n)
         keys = (sums[stops] - sums[starts]) * self.back[starts] + (stops - starts).astype(np.uint64)
+        del sums
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         slots = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -175,16 +176,31 @@ class Encoder:
         ids = self.pool[ranges(self.at[slots][inverse], size)]
         ends = np.concatenate([[0], np.cumsum(size)])
         per_text = np.diff(ends[np.searchsorted(starts, offsets)])
-        alike = self.text_length[slots][inverse] == stops - starts
-        same = self.text[ranges(self.text_at[slots][inverse][alike], (stops - starts)[alike])] == (chars if alike.all() else chars[ranges(starts[alike], (stops - starts)[alike])])
-        if alike.all() and same.all():
+        bad = self._unlike(chars, starts, stops, slots, inverse)
+        if not len(bad):
             return ids, per_text
-        places = ranges(starts[alike], (stops - starts)[alike])
-        wrong = set((np.searchsorted(offsets, np.concatenate([starts[~alike], places[~same]]), "right") - 1).tolist())
+        wrong = set((np.searchsorted(offsets, starts[bad], "right") - 1).tolist())
         where = np.cumsum(per_text) - per_text
         out = [np.array(self._library([t])[0], self.dtype) if i in wrong else ids[where[i] : where[i] + per_text[i]] for i, t in enumerate(texts)]
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
+    def _unlike(self, chars, starts, stops, slots, inverse) -> np.ndarray:
+        """Pre-tokens whose cached entry is of another text, compared some thousands at a time."""
+        out = []
+        for a in range(0, len(starts), 1 << 15):
+            b = min(a + (1 << 15), len(starts))
+            own, n = slots[inverse[a:b]], stops[a:b] - starts[a:b]
+            if (self.text_length[own] == n).all():
+                same = self.text[ranges(self.text_at[own], n)] == chars[starts[a] : stops[b - 1]]
+                if not same.all():
+                    out.append(np.unique(np.searchsorted(starts, starts[a] + np.flatnonzero(~same), "right") - 1))
+                continue
+            for i, s, m in zip(range(a, b), own.tolist(), n.tolist(), strict=True):
+                at = self.text_at[s]
+                if self.text_length[s] != m or (self.text[at : at + m] != chars[starts[i] : stops[i]]).any():
+                    out.append(np.array([i]))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def _starts(self, chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin, by the byte-level split pattern."""
         n = len(chars)

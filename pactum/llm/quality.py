@@ -29,7 +29,7 @@ from pactum.llm.labelled import chance, every_fourth, logistic, sample, scored,
 ONES, ZEROS = 3000, 3000
 CUT = 0.3
 BITS = 19
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

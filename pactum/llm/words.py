@@ -22,7 +22,7 @@ for _b in range(256):
         _LOWER[_b] = _b + 32
 _VALUE = random64(256, 11)
 _PLACE = random64(1 << 12, 23) | np.uint64(1)
-_STEP = 1 << 20
+_STEP = 1 << 18
 
 
 def _coefficients(place: np.ndarray) -> np.ndarray:
