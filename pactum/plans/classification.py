@@ -141,6 +141,13 @@ risky AS (SELECT *, CASE WHEN regexp_matches(body, '(?i)\b(unlimited|uncapped)\b
 _SIGN = "CASE sign WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' ELSE nullif(sign, '') END"
 _CUT = "CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 600) || chr(10) || chr(10) || '[... TRUNCATED ...]' || chr(10) || chr(10) || right(text, 368) END"
 _ASKED = f"'Extract this contract.' || chr(10) || chr(10) || 'Headers found:' || chr(10) || coalesce(listed, '(none)') || chr(10) || chr(10) || 'Document:' || chr(10) || '<<<' || chr(10) || {_CUT} || chr(10) || '>>>'"
+
+
+def _kind(text: str) -> str:
+    words = [("AMENDMENT", r"(?i)\b(amendment|change order|addendum|side letter)\b"), ("SOW", r"(?i)\b(statement of work|sow)\b"), ("MSA", r"(?i)\bmaster\b.{0,40}\bagreement\b"), ("NDA", r"(?i)\b(non-?disclosure|confidentiality)\b.{0,20}\bagreement\b")]
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{name}'" for name, p in words) + " END"
+
+
 SQL = {
     "header_hints": f"WITH {_CONTRACT} SELECT doc_id, n, h AS hints FROM hint",
     "classify_prompt": f"WITH {_CONTRACT}, q AS (SELECT doc_id, {_ASKED} AS p FROM contract LEFT JOIN hint USING (doc_id)) SELECT doc_id, sha256(p) AS prompt_sha, CAST(length(p) AS INTEGER) AS n_chars FROM q",
@@ -148,8 +155,7 @@ SQL = {
         || chr(10) || chr(10) || 'Document:' || chr(10) || '<<<' || chr(10) || left(text, 100) || chr(10) || '>>>') AS prompt_sha FROM contract""",
     "classify_clauses": f"WITH {_CONTRACT} SELECT doc_id, pos, CAST(pos + 1 AS VARCHAR) AS number, title, title AS category, risk AS risk_level, sha256(body) AS body_sha FROM risky",
     "classification": f"""WITH {_CONTRACT}, shaped AS (SELECT doc_id, sha256(string_agg((pos + 1) || '|' || {_N('title')}, chr(10) ORDER BY pos)) AS structural_hash, CAST(count(*) AS INTEGER) AS n_clauses FROM sec GROUP BY doc_id)
-        SELECT t.doc_id, CASE WHEN regexp_matches(left(text, 2000), '(?i)\\b(amendment|change order|addendum|side letter)\\b') THEN 'AMENDMENT' WHEN regexp_matches(left(text, 2000), '(?i)\\b(statement of work|sow)\\b') THEN 'SOW'
-            WHEN regexp_matches(left(text, 2000), '(?i)\\bmaster\\b.{{0,40}}\\bagreement\\b') THEN 'MSA' WHEN regexp_matches(left(text, 2000), '(?i)\\b(non-?disclosure|confidentiality)\\b.{{0,20}}\\bagreement\\b') THEN 'NDA' ELSE 'OTHER' END AS doc_type,
+        SELECT t.doc_id, coalesce({_kind('string_split(text, chr(10))[1]')}, {_kind('left(text, 2000)')}, 'OTHER') AS doc_type,
         string_split(text, chr(10))[1] AS title, nullif(regexp_extract(text, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1), '') AS effective_date, CASE WHEN regexp_matches(text, '(?im)^\\s*(signed|executed)\\b') THEN 'signed' ELSE 'draft' END AS lifecycle,
         n_clauses, {_SIGN} AS currency, total AS contract_value, base AS base_value, delta AS value_delta, abs(expected - stated) <= 1 AS reconciled, CASE WHEN stated IS NULL THEN 'low' WHEN abs(expected - stated) <= 1 THEN 'high' ELSE 'medium' END AS confidence,
         structural_hash, CAST(NULL AS VARCHAR) AS error FROM told t JOIN shaped USING (doc_id)""",
