@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactum.llm import bpe
-from pactum.llm.common import materialize, sliced, table
+from pactum.llm.common import materialize, ranged, sliced, table
 
 KEYED = 16
 CONTROL = "</s>[INST] ok [/INST]"
@@ -227,7 +227,7 @@ def forest(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
         order += ["rest"]
     else:
         chained = chained.withColumn("shared_to", limit)
-    ordered = chained.repartitionByRange(*order, "conv_id").sortWithinPartitions(*order, "conv_id", "idx")
+    ordered = ranged(chained, F.octet_length("text"), *order, "conv_id").sortWithinPartitions(*order, "conv_id", "idx")
     return materialize(ordered.mapInArrow(_emit(path), _SEGMENT), "chat-tree")
 
 

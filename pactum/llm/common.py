@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pactum.sources.shared import materialize, shared_dir
 
-__all__ = ["bounded", "fields", "filesystem", "free_name", "materialize", "mix64", "own_columns", "random64", "ranges", "set_aside", "shared_dir", "sliced", "table", "utf8", "whole_groups"]
+__all__ = ["bounded", "fields", "filesystem", "free_name", "materialize", "mix64", "own_columns", "random64", "ranged", "ranges", "set_aside", "shared_dir", "sliced", "table", "utf8", "whole_groups"]
 
 #: Tables of ids with at most so many rows may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -20,6 +20,20 @@ def bounded(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def ranged(df: DataFrame, size, *keys, target: int = 64 << 20) -> DataFrame:
+    """df dealt into ranges of keys: as many as the session's shuffles have, more where a range would have over ``target`` bytes.
+
+    size: the bytes of a row, a column.
+    """
+    from pyspark.sql import functions as F
+
+    total = df.agg(F.sum(size)).first()[0] or 0
+    n = -(-total // target)
+    if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(n, *keys)
+    return df.repartitionByRange(*keys)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """name with underscores put before it until no column is called so, in any case of letters."""
     low = {c.lower() for c in taken}

@@ -8,7 +8,8 @@ Layout of one shard ``shard-<k>``:
 * ``.idx``  - signed 64-bit offset of each document's first id and the end of
   the last, counted in ids over *all* shards.
 
-Shards follow the ascending order of doc_id. A task writes its ids and counts,
+Shards follow the ascending order of doc_id and hold some 64 MB of text (rows of one
+doc_id and text stay together). A task writes its ids and counts,
 prefix sums over the shards' totals give each shard's base, and a second task
 per shard turns counts into offsets. Files are written under a name of their
 task attempt and renamed, so a repeated attempt replaces its own work only.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm import bpe
-from pactum.llm.common import filesystem, materialize, shared_dir, sliced, table
+from pactum.llm.common import filesystem, materialize, ranged, shared_dir, sliced, table
 
 END_ID = 2
 _NULL_ID = np.iinfo(np.int64).min
@@ -45,16 +46,35 @@ def _put(folder: str, name: str, chunks, attempt: int) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-def mapped(folder: str, name: str, dtype) -> np.ndarray:
-    """A file of the format as an array: memory-mapped where the folder is a local or mounted one."""
-    from pyarrow.fs import LocalFileSystem
+class Mapped:
+    """A file of the format as an array that is read by slices: memory-mapped where the folder is a local or mounted one, else by ranges of bytes."""
 
-    fs, path = filesystem(folder)
-    if isinstance(fs, LocalFileSystem):
+    def __init__(self, folder: str, name: str, dtype):
+        from pyarrow.fs import LocalFileSystem
+
+        fs, path = filesystem(folder)
+        self.dtype = np.dtype(dtype)
         size = fs.get_file_info(f"{path}/{name}").size
-        return np.memmap(f"{path}/{name}", dtype, "r") if size else np.zeros(0, dtype)
-    with fs.open_input_file(f"{path}/{name}") as source:
-        return np.frombuffer(source.read(), dtype)
+        self.length, self.array, self.source = size // self.dtype.itemsize, None, None
+        if isinstance(fs, LocalFileSystem):
+            self.array = np.memmap(f"{path}/{name}", self.dtype, "r") if size else np.zeros(0, self.dtype)
+        else:
+            self.source = fs.open_input_file(f"{path}/{name}")
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        start, stop, _ = part.indices(self.length)
+        if self.array is not None:
+            return np.array(self.array[start:stop])
+        return np.frombuffer(self.source.read_at((stop - start) * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
+
+
+def mapped(folder: str, name: str, dtype) -> np.ndarray:
+    """A whole file of the format as an array, memory-mapped where it can be."""
+    own = Mapped(folder, name, dtype)
+    return own[:] if own.array is None else own.array
 
 
 def write(docs: DataFrame, vocabulary: str | None = None, end: int = END_ID, folder: str | None = None) -> DataFrame:
@@ -87,11 +107,8 @@ def write(docs: DataFrame, vocabulary: str | None = None, end: int = END_ID, fol
         _put(folder, f"{name}.idx", (x.astype("<i8").tobytes() for x in counts), attempt)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [totals[0]], "n_ids": [totals[1]], "width": pa.array([coder.dtype.itemsize], pa.int32()), "folder": [folder]})
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = ranged(texts, F.octet_length("text"), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     shards = materialize(ordered.mapInArrow(encode, _SHARDS), "id-shards")
     # One row a shard, whatever the documents: their totals' prefix sums are the bases.
     rows, base = [], 0
@@ -106,7 +123,7 @@ def write(docs: DataFrame, vocabulary: str | None = None, end: int = END_ID, fol
             for r in batch.to_pylist():
                 name = f"shard-{r['shard']:06d}"
                 # The counts stay in their own file until the offsets are whole, so this can run again.
-                counts = np.array(mapped(r["folder"], f"{name}.idx", "<i8"))
+                counts = Mapped(r["folder"], f"{name}.idx", "<i8")[:]
                 if len(counts) == r["n_docs"]:
                     offsets = r["base"] + np.concatenate([[0], np.cumsum(counts)])
                     _put(r["folder"], f"{name}.idx", [offsets.astype("<i8").tobytes()], attempt)
@@ -125,12 +142,12 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 name = f"shard-{r['shard']:06d}"
-                ids, docs, index = (mapped(r["folder"], f"{name}.{kind}", d) for kind, d in (("ids", f"<u{r['width']}"), ("docs", "<i8"), ("idx", "<i8")))
-                for a in range(0, len(docs), 10_000):
-                    at = np.array(index[a : min(a + 10_000, len(docs)) + 1])
+                ids, docs, index = (Mapped(r["folder"], f"{name}.{kind}", d) for kind, d in (("ids", f"<u{r['width']}"), ("docs", "<i8"), ("idx", "<i8")))
+                for a in range(0, len(docs), 1000):
+                    at = index[a : min(a + 1000, len(docs)) + 1]
                     local = at - r["base"]
                     crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(local[:-1].tolist(), local[1:].tolist(), strict=True)]
-                    d = np.array(docs[a : a + 10_000])
+                    d = docs[a : a + 1000]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, mask=d == _NULL_ID), "start": at[:-1], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())})
 
     return shards.repartition(max(1, spark.sparkContext.defaultParallelism), "shard").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

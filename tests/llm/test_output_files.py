@@ -53,6 +53,8 @@ def test_file_layout(documents, library, tmp_path):
     assert shards[0].width == 2
     assert token_files.mapped(f"file://{tmp_path}/f", f"{name}.ids", "<u2").tolist() == [*ids_of(library, "ab cd", 2), 2]
     assert token_files.mapped(f"file://{tmp_path}/f", f"{name}.idx", "<i8").tolist() == [0, 3, 4]
+    part = token_files.Mapped(f"file://{tmp_path}/f", f"{name}.idx", "<i8")
+    assert len(part) == 3 and part[1:].tolist() == [3, 4] and part[3:9].tolist() == []
     assert not [x for x in (tmp_path / "f").iterdir() if x.name.startswith(".shard")]
 
 
