@@ -17,17 +17,37 @@ TRUNCATED = "\n\n[... TRUNCATED ...]\n\n"
 
 def _folding() -> tuple[str, str]:
     """Accented Latin letters and, at the same place, their base letters, from the decomposition rule."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xA0, 0x250)]
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00))]
+    # Greek letters lose their accents first, then both alphabets go by the lists below.
     pairs = [(a, b) for a, b in pairs if b != a and b.isascii()]
+    greek = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0x386, 0x3CF)]
+    pairs += [(a, _ALPHABETS.get(b, a)) for a, b in greek if len(_ALPHABETS.get(b, "xx")) == 1]
+    pairs += [(a, b) for a, b in _ALPHABETS.items() if len(b) == 1 and a not in dict(pairs)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _alphabet(letters: str, plain: str) -> dict[str, str]:
+    own = dict(zip(letters.split(), plain.split(), strict=True))
+    return own | {a.upper(): b.upper() if len(b) == 1 else b.capitalize() for a, b in own.items()}
+
+
+#: Greek and Cyrillic letters in Latin ones, and typographic marks in plain ones. Fixed values.
+_ALPHABETS = (
+    _alphabet("α β γ δ ε ζ η θ ι κ λ μ ν ξ ο π ρ σ τ υ φ χ ψ ω", "a b g d e z e th i k l m n x o p r s t u ph kh ps o")
+    | _alphabet("а б в г д е ж з и й к л м н о п р с т у ф х ц ч ш щ ы э ю я ё і ї є", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch y e iu ia e i i ie")
+    | {"ς": "s", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", "€": "EUR", "£": "GBP"}
+)
+
+
 def ascii_folded(text: Column) -> Column:
+    """Letters of the Latin, Greek and Cyrillic alphabets in ASCII; other scripts stay."""
     source, target = _folding()
     folded = F.translate(text, source, target)
-    for letter, plain in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D"), ("þ", "th"), ("Þ", "Th")):
+    several = [(a, b) for a, b in _ALPHABETS.items() if len(b) > 1]
+    for letter, plain in (*several, ("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D"), ("þ", "th"), ("Þ", "Th")):
         folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return folded
+    # Most texts are ASCII, which the two lengths tell.
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def normalize(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pactum.functions.text import media_type
 from pactum.operators import search, store, validation
 from pactum.sources.shared import materialize
 
+#: Fixed values.
 NOT_FOUND = "Document not found"
 NO_VERSIONS = "No processed versions found"
 #: What is said where the latest version lacks an artefact. Fixed values.

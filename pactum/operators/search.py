@@ -193,6 +193,7 @@ def context(hits: DataFrame, clauses: DataFrame, chars: int = 1200, by_document:
     return listed.select("query_id", F.array_join("l.block", "\n\n---\n\n" if by_document else "\n").alias("context"), F.col("l.citation").alias("citations"))
 
 
+#: Said where no clause is found. Fixed value.
 NOTHING_FOUND = "I couldn't find any clauses relevant to that question in this document. Try rephrasing, or ask about a specific clause or topic."
 
 

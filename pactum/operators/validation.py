@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions.vocabulary import DOC_TYPES, LIFECYCLES
 
+# The messages below are fixed values: callers compare with them.
 _TYPES, _CYCLES = ", ".join(sorted(DOC_TYPES)), ", ".join(sorted(LIFECYCLES))
 
 

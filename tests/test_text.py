@@ -17,7 +17,7 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("given_,want", [("  Straße\t Élève ", "strasse eleve"), (None, ""), ("", ""), ("Œuvre Łódź Ærø", "oeuvre lodz aero")])
+@pytest.mark.parametrize("given_,want", [("  Straße\t Élève ", "strasse eleve"), (None, ""), ("", ""), ("Œuvre Łódź Ærø", "oeuvre lodz aero"), ("Ελλάδα Ψυχή", "ellada psukhe"), ("Щука Москва", "shchuka moskva"), ("Việt “a” – …", 'viet "a" - ...'), ("漢字 x", "漢字 x")])
 def test_normalize(spark, given_, want):
     assert one(spark, t.normalize(F.lit(given_).cast("string"))) == want
 
