@@ -21,6 +21,8 @@ VOCABULARY = "byte_bpe_50k.json"
 _TOP = 0x250
 _CACHE = 3_000_000
 _PASS = 1 << 19
+#: New pre-tokens that are learnt at once.
+_TOGETHER = 8000
 _SPACE, _LETTER, _NUMBER, _OTHER, _ODD = range(5)
 
 
@@ -170,7 +172,10 @@ class Encoder:
         inside = slots < len(self.keys)
         known[inside] = self.keys[slots[inside]] == unique[inside]
         if not known.all():
-            self._learn(unique[~known], chars, starts[first[~known]], stops[first[~known]])
+            keys_, own = unique[~known], first[~known]
+            for a in range(0, len(keys_), _TOGETHER):  # a bounded number of Python objects at once
+                at = own[a : a + _TOGETHER]
+                self._learn(keys_[a : a + _TOGETHER], chars, starts[at], stops[at])
             slots = np.searchsorted(self.keys, unique)
         size = self.length[slots][inverse]
         ids = self.pool[ranges(self.at[slots][inverse], size)]
