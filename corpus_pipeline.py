@@ -1,11 +1,20 @@
 """Corpus pipeline: five stages over ``documents``, each by one operator.
 
 Each stage works on all rows that the one before it kept. The classifiers learn
-from the labelled training rows of ``documents`` that are still there.
+from the labelled training rows of ``documents`` that are still there. Stages set
+the session's Arrow batches to BATCH_ROWS rows, as whole texts pass through them.
+
+Cases, as the operators have them: a null text is an empty one; rows of a null or
+repeated doc_id are judged each for itself, and of a class of near duplicates one
+row stays; ties go to the least doc_id, then the least text; an empty table gives
+no rows; all columns of documents, whatever their names, reach the last stage,
+which gives its own.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pactum.llm import decontamination, minhash_forest, packing, quality, toxicity
@@ -37,7 +46,28 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", _toxicity), ("quality", _quality), ("near_duplicates", _near_duplicates), ("decontamination", _decontamination), ("packing", _packing)]
+#: Rows of one Arrow batch between the JVM and Python.
+BATCH_ROWS = 2000
+
+
+def _bounded(stage):
+    """The stage with batches of BATCH_ROWS rows: executor memory holds a few of them at once on either side."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [
+    ("toxicity", _bounded(_toxicity)),
+    ("quality", _bounded(_quality)),
+    ("near_duplicates", _bounded(_near_duplicates)),
+    ("decontamination", _bounded(_decontamination)),
+    ("packing", _bounded(_packing)),
+]
 
 #: Trained models and token ids are beyond SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
