@@ -66,10 +66,12 @@ def postings(clauses: DataFrame, asked: DataFrame | None = None, analyzer=terms)
     """(field, term, clause_id, tenant_id, doc_id, conditions' columns, field_length, tf) of title and text.
 
     asked: a table of the terms (term) that queries have; others are left out before
-    anything is shuffled. Lengths are those of whole fields all the same.
+    anything is shuffled. Lengths are those of whole fields all the same. Clauses are
+    dealt by their id before their terms are taken apart, so terms are counted where
+    they are and it is texts that are shuffled, not terms.
     """
     made = F.array(*(F.struct(F.lit(f).alias("field"), analyzer(F.col(f)).alias("t")) for f in ("title", "text")))
-    rows = clauses.select(*_carried(clauses), F.explode(made).alias("f"))
+    rows = clauses.select(*_carried(clauses), "title", "text").repartition("clause_id").select(*_carried(clauses), F.explode(made).alias("f"))
     rows = rows.select(*_carried(clauses), "f.field", F.size("f.t").alias("field_length"), F.explode("f.t").alias("term"))
     if asked is not None:
         rows = rows.join(F.broadcast(asked) if asked.count() <= FEW else asked, "term", "left_semi")
