@@ -97,13 +97,14 @@ def asked_terms(queries: DataFrame, analyzer=terms) -> DataFrame:
     return materialize(queries.select(F.explode(analyzer(F.col("text"))).alias("term")).distinct(), "terms")
 
 
-def bm25(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int | None = 10, analyzer=terms) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int | None = 10, analyzer=terms, where: Column | None = None) -> DataFrame:
     """query_id, clause_id, doc_id, score, rank: best of twice the title's and the text's BM25.
 
     queries: query_id, tenant_id, text and optionally exclude_doc_id, doc_types
     (an array), doc_id, hash_prefix. Frequencies are those of the whole index,
     whatever the tenant. index: postings of the clauses, of all terms or of those
-    that the queries have; clauses give the fields' mean lengths.
+    that the queries have; clauses give the fields' mean lengths. where: what holds
+    for every clause that any query may find; frequencies count the others too.
     """
     known = materialize(fields(clauses, analyzer), "fields")
     asked = _asked(queries, F.explode(F.array_distinct(analyzer(F.col("text")))).alias("term"))
@@ -112,7 +113,7 @@ def bm25(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int | None
     # The weight of a term belongs to what is asked; the table of fields has two rows.
     weight = F.log1p((F.col("n_clauses") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.join(df, "term").join(F.broadcast(known), "field").withColumn("idf", weight).drop("df", "n_clauses")
-    hits = _allowed(_meet(index, materialize(asked, "asked"), ["tenant_id", "term", "field"]))
+    hits = _allowed(_meet(index if where is None else index.filter(where), materialize(asked, "asked"), ["tenant_id", "term", "field"]))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("field_length") / F.col("mean_length")))
     by_field = hits.groupBy("query_id", "clause_id", "doc_id").agg(F.sum(F.when(F.col("field") == "title", part)).alias("title"), F.sum(F.when(F.col("field") == "text", part)).alias("text"))
     scored = by_field.select("query_id", "clause_id", "doc_id", F.round(F.greatest(2 * F.coalesce("title", F.lit(0.0)), F.coalesce("text", F.lit(0.0))), DIGITS).alias("score"))
@@ -173,9 +174,10 @@ def fuse(near: DataFrame, keyword: DataFrame, k: int | None = 10, alpha: float =
     return _top(rows, k, "doc_id")
 
 
-def hybrid(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int = 10, alpha: float = ALPHA, dimensions: int | None = None) -> DataFrame:
-    """Documents by both channels, 2k hits fetched from each."""
-    near, keyword = (materialize(x, "hits") for x in (knn(queries, clauses, 2 * k, dimensions), bm25(queries, index, clauses, 2 * k)))
+def hybrid(queries: DataFrame, index: DataFrame, clauses: DataFrame, k: int = 10, alpha: float = ALPHA, dimensions: int | None = None, where: Column | None = None) -> DataFrame:
+    """Documents by both channels, 2k hits fetched from each; where: as in ``bm25``."""
+    near = knn(queries, clauses if where is None else clauses.filter(where), 2 * k, dimensions)
+    near, keyword = (materialize(x, "hits") for x in (near, bm25(queries, index, clauses, 2 * k, where=where)))
     return fuse(near, keyword, k, alpha)
 
 
